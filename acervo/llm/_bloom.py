@@ -23,8 +23,8 @@ def _bits(keys: np.ndarray, log2_bits: int) -> list[np.ndarray]:
     return [((a + U64(i) * b) >> U64(64 - log2_bits)).astype(np.int64) for i in range(PROBES)]
 
 
-def build(frame: DataFrame, column: str, log2_bits: int = 26) -> np.ndarray:
-    """Bits of all values of `column`, as 64-bit words. The driver receives 2**log2_bits / 64 words at most (16 MB by default)."""
+def build(frame: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:
+    """Bits of all values of `column`, as 64-bit words. The driver receives 2**log2_bits / 64 words at most (2 MB of bits by default)."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = None

@@ -66,7 +66,7 @@ def _firsts(docs: DataFrame, filter_: object = None) -> DataFrame:
 def repeated_units(docs: DataFrame) -> DataFrame:
     """docs (id, text) -> (id, h1, h2): units that a document with a smaller id has too."""
     shared = kept(_firsts(docs).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first"))
-    filter_ = docs.sparkSession.sparkContext.broadcast(_bloom.build(shared, "h1"))
+    filter_ = docs.sparkSession.sparkContext.broadcast(_bloom.build(shared, "h1", 25))
     return _firsts(docs, filter_).join(shared, ["h1", "h2"]).where("id > first").select("id", "h1", "h2").distinct()
 
 

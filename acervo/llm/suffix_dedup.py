@@ -316,7 +316,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs (id, rid, text) -> (id, rid, start, end): byte ranges covered by repeated strings, not merged."""
     grams = kept(_grams(docs, length, gram).groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))
     context = docs.sparkSession.sparkContext
-    wanted, mixed = context.broadcast(_bloom.build(grams, "gram")), context.broadcast(_bloom.build(grams.where("mixed"), "gram"))
+    wanted, mixed = context.broadcast(_bloom.build(grams, "gram", 25)), context.broadcast(_bloom.build(grams.where("mixed"), "gram", 25))
     members = kept(_members(docs, length, gram, wanted, mixed))
     cases = members.groupBy(F.col("gram").alias("key"), "around").agg(F.count("*").alias("times"), F.first(F.col("at") - F.col("hi")).cast("int").alias("least"), F.first(F.col("at") - F.col("lo")).cast("int").alias("reach"), F.first("bytes").alias("bytes"))
     found = _resolve(kept(cases), length, gram, 1 << 5)
