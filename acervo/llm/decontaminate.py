@@ -1,7 +1,7 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
-Every passage of every training text is a query. Passages whose terms' greatest impacts cannot reach the threshold are
-passed over at once; the others run block-max WAND over the posting lists and retrieve all items above it. Items that
+Every passage of every training text is a query. Passages in which no item can reach the threshold, by the impacts of
+their rare terms and the most that frequent terms could add, are passed over at once; the others run block-max WAND over the posting lists and retrieve all items above it. Items that
 are retrieved count as leaked when their question and answer words overlap the text around the passage.
 """
 
@@ -23,7 +23,7 @@ K1, B, BLOCK, ITEMS = 1.2, 0.75, 64, 20_000
 class Index:
     """Posting lists with block maxima. Impacts are divided by the score an item gives itself, so one threshold holds for all."""
 
-    def __init__(self, ids: list[int], texts: list[str], answer_share: float, ngram: int):
+    def __init__(self, ids: list[int], texts: list[str], answer_share: float, ngram: int, threshold: float):
         raw = [t.encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         starts, _, hashes = words(data, offsets)
@@ -58,6 +58,27 @@ class Index:
         self.postings = [(i, x / total[i]) for i, x in self.postings]
         self.most = np.array([x.max() for _, x in self.postings])
         self.blocks = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for _, x in self.postings]
+        # Lists that cannot bring any item to half the threshold together are left out of the first bound, longest first.
+        frequency = np.array([len(i) for i, _ in self.postings], np.int64)
+        self.rest, self.first_bound = np.zeros(len(ids)), np.ones(len(self.postings), bool)
+        for t in np.argsort(-frequency, kind="stable"):
+            items, impact = self.postings[t]
+            if frequency[t] < 2 or (self.rest[items] + impact).max() >= threshold / 2:
+                break
+            self.rest[items] += impact
+            self.first_bound[t] = False
+        self.begin = np.concatenate([[0], np.cumsum(frequency)])
+        self.items = np.concatenate([i for i, _ in self.postings]) if self.postings else np.zeros(0, np.int64)
+        self.impacts = np.concatenate([x for _, x in self.postings]) if self.postings else np.zeros(0)
+
+    def reachable(self, owner: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """Owners (windows, sorted) of the given rare terms in which some item can still reach the threshold."""
+        count = self.begin[term + 1] - self.begin[term]
+        place = np.repeat(self.begin[term] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        item = self.items[place]
+        key, inverse = np.unique(np.repeat(owner, count) * len(self.ids) + item, return_inverse=True)
+        most = np.bincount(inverse, self.impacts[place], len(key)) + self.rest[key % len(self.ids)]
+        return np.unique(key[most >= threshold - 1e-9] // len(self.ids))
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: (item, score) of all items that reach the threshold."""
@@ -119,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     out = None
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).orderBy("item", "text").toPandas()
-        index = Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram)
+        index = Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram, threshold)
         found = _search(plain, index, threshold, overlap, part_overlap)
         out = found if out is None else out.union(found)
     best = out.groupBy("id", "item").agg(F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", (-F.col("first_word")).alias("back"))).alias("b"))
@@ -140,26 +161,23 @@ def _search(docs: DataFrame, index: Index, threshold: float, overlap: float, par
                 at = word_bounds(starts, offsets)
                 term = table.find(hashes)
                 known = np.flatnonzero(term >= 0)
+                known = known[ix.first_bound[term[known]]]
+                if not len(known):
+                    continue
                 text = np.searchsorted(at, known, "right") - 1
                 tiles = np.concatenate([[0], np.cumsum(-(-np.diff(at) // stride))])
-                tile = (known - at[text]) // stride
                 # a window is two tiles; its terms count once
-                key = np.unique((tiles[text] + tile) << 24 | term[known])
-                inner = ~np.isin(key >> 24, tiles)
-                window = np.unique(np.concatenate([key, key[inner] - (1 << 24)]))
-                owner, term_of = window >> 24, window & 0xFFFFFF
-                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-                if not len(first):
-                    continue
-                bound = np.add.reduceat(ix.most[term_of], first)
-                last = np.append(first[1:], len(owner))
+                key = np.unique((tiles[text] + (known - at[text]) // stride) << 24 | term[known])
+                window = np.unique(np.concatenate([key, key[~np.isin(key >> 24, tiles)] - (1 << 24)]))
                 rows = []
-                for k in np.flatnonzero(bound >= threshold):
-                    for item, score in ix.search(term_of[first[k] : last[k]], threshold):
-                        doc = int(np.searchsorted(tiles, owner[first[k]], "right")) - 1
-                        tile_no = int(owner[first[k]] - tiles[doc])
-                        lo = int(at[doc]) + tile_no * stride
-                        there = shingle_hashes(hashes[lo : min(lo + 2 * stride, int(at[doc + 1]))], ix.sizes[item])
+                for w in ix.reachable(window >> 24, window & 0xFFFFFF, threshold).tolist():
+                    doc = int(np.searchsorted(tiles, w, "right")) - 1
+                    tile_no = w - int(tiles[doc])
+                    lo = int(at[doc]) + tile_no * stride
+                    hi = min(lo + 2 * stride, int(at[doc + 1]))
+                    terms = np.unique(term[lo:hi])
+                    for item, score in ix.search(terms[terms >= 0], threshold):
+                        there = shingle_hashes(hashes[lo:hi], ix.sizes[item])
                         q, a = (int(np.isin(x[item], there).sum()) for x in (ix.question, ix.answer))
                         nq, na = len(ix.question[item]), len(ix.answer[item])
                         rates = (q + a) / (nq + na), q / nq, a / na if na else 1.0
