@@ -304,11 +304,11 @@ def _resolve(cases: DataFrame, length: int, gram: int, step: int) -> DataFrame:
     open_ = cases.join(sizes, "key")
     out = whole.union(_sorted_groups(open_.where(F.col("members") <= GROUP), length, gram))
     large = kept(open_.where(F.col("members") > GROUP).drop("members"))
-    if step < 1 or not large.limit(1).count():
+    if not large.limit(1).count():
         return out
     parts = kept(_split(large, length, step))
     below = parts.groupBy(F.col("part_key").alias("key"), F.col("part_around").alias("around")).agg(F.sum("times").alias("times"), F.first("least").alias("least"), F.first("reach").alias("reach"), F.first("bytes").alias("bytes"))
-    found = _resolve(kept(below), length, gram, step // PARTS).select(F.col("key").alias("part_key"), F.col("around").alias("part_around"), "low", "high")
+    found = _resolve(kept(below), length, gram, step // PARTS or 1).select(F.col("key").alias("part_key"), F.col("around").alias("part_around"), "low", "high")
     return out.union(parts.select("key", "around", "part_key", "part_around").join(found, ["part_key", "part_around"]).select("key", "around", "low", "high"))
 
 
