@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from acervo.llm._text import pieces
 from acervo.llm.line_dedup import units
 
+#: Last bytes of a sentence.
+STOPS = b".!?:;"
 #: Known sentences of public licence texts: identifier -> sentences that mean it.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "copyright-all": ("All rights reserved.",),
@@ -63,7 +65,7 @@ def _sentence_digests(sentences: dict[str, tuple[str, ...]]) -> tuple[np.ndarray
     for name, variants in sentences.items():
         for variant in variants:
             raw = np.frombuffer(variant.encode(), np.uint8)
-            digest = units(raw, np.array([0, len(raw)]))[4]
+            digest = units(raw, np.array([0, len(raw)]), STOPS)[4]
             found[int(digest[0, 0])] = (name, len(digest), hash(tuple(digest[:, 0].tolist())))
     keys = np.array(sorted(found), np.uint64)
     return keys, [found[int(k)] for k in keys]
@@ -84,7 +86,7 @@ def match_rules(sequence: list[str], rules: tuple[tuple[str, tuple[str, ...]], .
 def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: dict[str, tuple[str, ...]] | None = None, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
     """One row for each row of docs: (id_column, n_sentences, sentence_ids, licenses, first_offset).
 
-    Sentences end at . ! ? or at a line break; A-Z count as a-z and blanks as one. sentence_ids joins the known sentences
+    Sentences end at . ! ? : ; or at a line break; A-Z count as a-z and blanks as one. sentence_ids joins the known sentences
     in text order; licenses joins the distinct licences found, sorted; first_offset is the byte where the first known
     sentence begins (-1 without one). Null, empty and plain texts give empty strings. Repeated rows and null ids come out
     as they come in; other columns are not read.
@@ -94,7 +96,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                text, begin, _, _, digest = units(data, offsets)
+                text, begin, _, _, digest = units(data, offsets, STOPS)
                 ones = digest[:, 0]
                 hits = np.flatnonzero(np.isin(ones, keys))
                 found: dict[int, list[tuple[str, int]]] = {}

@@ -22,7 +22,7 @@ from acervo.llm._text import U64, kept, mix, pieces, powers, signed, word_bounds
 MIN_WORDS = 25
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(data: np.ndarray, offsets: np.ndarray, stops: bytes = b".!?") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the units of all texts: text, first byte, end of the last word, number of words, and two hashes as (n, 2)."""
     starts, ends, hashes = words(data, offsets)
     if not len(starts):
@@ -30,7 +30,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return none, none, none, none, np.zeros((0, 2), U64)
     text = np.searchsorted(offsets, starts, "right") - 1
     lines = np.concatenate([[0], np.cumsum(data == 10)])
-    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+    stop = np.isin(data[ends - 1], np.frombuffer(stops, np.uint8))
     stop[:-1] |= (lines[starts[1:]] != lines[ends[:-1]]) | (text[1:] != text[:-1])
     stop[-1] = True
     last = np.flatnonzero(stop)

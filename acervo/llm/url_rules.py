@@ -34,7 +34,7 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(labels, parts, fields, F.array(F.concat(F.lit("scheme:"), F.lower(F.split_part(url, F.lit("://"), F.lit(1)))))), lambda x: F.length(x) > 5)))
 
 
-def mine(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 10) -> DataFrame:
+def mine(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10) -> DataFrame:
     """urls (url, block) -> rules (rule_id, tokens, n_tokens, confidence, support) whose consequent is the block label.
 
     Itemsets below `min_support` (or `min_count` rows) and rules below `min_confidence` are pruned.
@@ -71,7 +71,7 @@ def fixed_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ..
     return out
 
 
-def judge(pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url_column: str = "url", label_id: str = "doc_id", min_confidence: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url_column: str = "url", label_id: str = "doc_id", min_confidence: float = 0.6) -> DataFrame:
     """One row for each row of pages: (id_column, host, path, rule, verdict, confidence).
 
     A url that a fixed rule fits has that rule's verdict. Else it is blocked if a mined rule matches. Rules are mined
