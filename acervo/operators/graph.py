@@ -56,3 +56,9 @@ def merge(old_nodes: DataFrame, old_edges: DataFrame, nodes: DataFrame, edges: D
     for end in ("src", "dst"):
         fresh = fresh.join(all_nodes.select(F.col("id").alias(end)), end, "left_semi")
     return all_nodes, old_edges.unionByName(fresh)
+
+
+def one_hop(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, way, relation, other): distinct neighbours of the wanted nodes, along and against the edges."""
+    both = edges.select(F.col("src").alias("id"), F.lit("out").alias("way"), "relation", F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.lit("in").alias("way"), "relation", F.col("src").alias("other")))
+    return both.join(wanted.select("id").distinct(), "id", "left_semi").distinct()

@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 from acervo.functions.lookups import heal_key
-from acervo.operators import joins, keys, quality, sequences, text, upsert
-from acervo.plans import registry
+from acervo.operators import files, joins, keys, notes, quality, sequences, text, upsert
+from acervo.plans import collection, registry  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def rows(frame):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "customer orders lineitem events documents embeddings labels".split():
+    for name in "customer orders lineitem events documents embeddings labels part pages".split():
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
@@ -89,3 +89,31 @@ def test_windows_cover_one_vessel(spark):
     points = spark.createDataFrame([(v, t0 + dt.timedelta(hours=i), i, float(i)) for v in (1, 2) for i in range(70)] + [(3, t0, 0, 1.0)], "v long, ts timestamp, i long, x double")
     got = sequences.sliding_windows(points, "v", "ts", "i", "x").collect()
     assert len(got) == 6 and all(r.points == 32 for r in got)
+
+
+@pytest.mark.parametrize("name", ["classified_files", "year_from_name", "type_and_version", "best_extraction", "positional_type", "version_suffix", "manifest_health", "index_changes", "repaired_json", "page_lines", "fixed_attributes", "gap_features", "one_hop"])
+def test_collection_matches_sql(spark, duck, name):
+    test_matches_sql(spark, duck, name)
+
+
+def test_names(spark):
+    name = F.col("n")
+    got = spark.createDataFrame([("21PU2025H0155.estudio.03.pdf",), ("ASEA_GACETA_01-2026.pdf",), ("gaceta_0001-26.pdf",), ("",), (None,)], "n string").select(files.source_tag(name), files.is_gazette(name), files.category(name), files.year_from_name(name), *files.type_and_version(name)).collect()
+    assert [tuple(r) for r in got] == [
+        ("SEMARNAT", False, "estudio", 2025, "estudio", 3),
+        ("ASEA", True, "gaceta", 2026, "pdf", None),
+        ("SEMARNAT", True, "gaceta", 2026, "pdf", None),
+        ("SEMARNAT", False, "desconocido", None, None, None),
+        ("SEMARNAT", False, "desconocido", None, None, None),
+    ]
+
+
+def test_notes(spark):
+    body = "---\nclave: 21PU2025H0155\nestado: \"Puebla\"\nclave: x\n---\n[[A|b]] [[a/c]] [[B]] [[B]]"
+    row = notes.parse_note(spark.createDataFrame([(1, body)], "k long, b string"), "k", "b").first()
+    assert row.fields == {"estado": "Puebla", "clave": "x"} and row.links == ["A", "B", "a/c"]
+    links = spark.createDataFrame([("A",), ("a/c",), ("B",), ("",)], "t string")
+    stems = spark.createDataFrame([("a",)], "s string")
+    assert [r.t for r in notes.broken_links(links, stems, "t", "s").collect()] == ["B"]
+    texts = spark.createDataFrame([("zona  núcleo",), ("NOM-059 especie P sin nada",), ("nom-059 P con plan de manejo",), (None,)], "t string")
+    assert [len(r[0]) for r in texts.select(notes.knockouts(F.col("t"))).collect()] == [1, 1, 0, 0]
