@@ -119,6 +119,7 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, round(CASE WHEN quality IS NOT NULL THEN 0.7 * quality * 8 / 10 + 0.3 * s ELSE 0.5 * s END, 4)::DOUBLE AS blended FROM (SELECT doc_id, (doc_id % 97) / 97.0::DOUBLE AS s FROM documents) LEFT JOIN labels USING (doc_id)")
 def blended_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Own scores are 97ths, so none stands exactly between two rounded values: there the two engines round doubles differently."""
     rows = table(spark, d, "documents").select("doc_id", ((F.col("doc_id") % 97) / 97.0).alias("score"))
     outside = table(spark, d, "labels").select("doc_id", (F.col("quality") * 8).alias("outside"))
     return notes.blend(rows, outside, "doc_id").select("doc_id", "blended")
