@@ -18,6 +18,13 @@ TYPES = {
     "H": "MIA Particular", "G": "MIA Regional", "I": "Informe Preventivo", "T": "Cambio de Uso de Suelo",
     "D": "Estudio de Riesgo", "X": "Trámite Sector Hidrocarburos (X)",
 }
+SECTORS = {
+    "01": "Vías de Comunicación", "02": "Hidráulico", "03": "Oleoductos / Gasoductos / Minería", "04": "Eléctrico",
+    "05": "Industria Química / Petroquímica", "06": "Siderúrgica / Metalúrgica", "07": "Cementera / Calera", "08": "Automotriz",
+    "09": "Turístico", "10": "Inmobiliario / Desarrollo Urbano", "11": "Manejo de Residuos Peligrosos",
+    "12": "Forestal / Cambio de Uso de Suelo", "14": "Obras Marítimas / Puertos", "21": "Sector Hidrocarburos",
+    "28": "Sector Gas natural y Gas LP", "30": "Exploración y Extracción",
+}
 STRICT_KEY = r"^\d{2}[A-Z]{2}\d{4}[A-Z]\d{4}$"
 AUDIT_KEY = r"^\d{2}[A-Z]{2}\d{4}[A-Z0-9]\d{3,5}$"
 PLACEHOLDERS = ("desconocido", "unknown", "", "n/a", "nd", "no disponible", "sin datos")

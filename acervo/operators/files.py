@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acervo.functions.lookups import SECTORS, STATES, TYPES, lookup
+
 KIND_RANK = ("estudio", "resumen", "resolutivo")
 
 
@@ -23,6 +25,31 @@ def category(name: Column) -> Column:
     return F.when(low.rlike("estudio|mia"), "estudio").when(low.contains("resumen"), "resumen").when(low.rlike("resolutivo|resolucion"), "resolutivo").when(low.contains("gaceta"), "gaceta").otherwise("desconocido")
 
 
+def classify(rows: DataFrame, path: str) -> DataFrame:
+    """Adds item, what a file's name tells: key, source, sector, state, year, type, sequence and category.
+
+    A project key comes first, then a numbered gazette; other names keep their stem as the key.
+    """
+    name = F.coalesce(F.element_at(F.split(F.col(path), "/"), -1), F.lit(""))
+    stem = F.upper(F.split_part(name, F.lit("."), F.lit(1)))
+    ok = stem.rlike(r"^\d{2}[A-Z]{2}\d{4}[A-Z]\d{3,5}$")
+    number, of_year = [F.regexp_extract(name, r"(?i)(?:asea.*gaceta|gaceta.*asea).*?(\d+)[-_](\d{4})", i) for i in (1, 2)]
+    gazette, padded = number != "", F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
+    part = lambda a, n: F.substring(stem, a, n)
+    pick = lambda a, b, other=None: F.when(ok, a).when(gazette, b).otherwise(F.lit(other))
+    named = lambda code, table, word: F.when(lookup(code, table) == code, F.concat(F.lit(word), code)).otherwise(lookup(code, table))
+    item = F.struct(
+        pick(stem, F.concat(F.lit("ASEA-GACETA-"), padded, F.lit("-"), of_year)).alias("_k"), ok.alias("valid"), pick(source_tag(F.col(path)), F.lit("ASEA")).alias("_s"),
+        pick(part(1, 2), F.lit("21")).alias("sector_code"), pick(named(part(1, 2), SECTORS, "Sector "), F.lit("Sector Hidrocarburos"), "Desconocido").alias("sector_name"),
+        pick(part(3, 2), F.lit("MG")).alias("state_code"), pick(lookup(part(3, 2), STATES), F.lit("Nacional/Marino"), "Desconocido").alias("state_name"),
+        pick(part(5, 4), of_year).cast("int").alias("year"), pick(part(9, 1), F.lit("GACETA")).alias("type_code"),
+        pick(named(part(9, 1), TYPES, "Tipo "), F.lit("Gaceta Informativa ASEA"), "Desconocido").alias("type_name"),
+        pick(F.regexp_extract(stem, r"(\d{3,5})$", 1), number).alias("sequence"), pick(category(name), F.lit("gaceta")).alias("_c"),
+    )
+    item = item.withField("clave", F.coalesce(item["_k"], stem)).withField("source", F.coalesce(item["_s"], source_tag(F.col(path)))).withField("category", F.coalesce(item["_c"], category(name)))
+    return rows.withColumn("item", item.dropFields("_k", "_s", "_c"))
+
+
 def year_from_name(name: Column) -> Column:
     """The first year 20xx, else a two-digit year right before .pdf, else null."""
     full, short = F.regexp_extract(name, r"(20\d{2})", 1), F.regexp_extract(F.lower(name), r"-(\d{2})\.pdf$", 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from acervo.functions.scratch import kept
+
 
 def project_edges(projects: DataFrame) -> DataFrame:
     """(src, dst, relation) of valid projects (clave, state, municipality, sponsor, kind, key_year, sector)."""
@@ -62,3 +64,64 @@ def one_hop(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, way, relation, other): distinct neighbours of the wanted nodes, along and against the edges."""
     both = edges.select(F.col("src").alias("id"), F.lit("out").alias("way"), "relation", F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.lit("in").alias("way"), "relation", F.col("src").alias("other")))
     return both.join(wanted.select("id").distinct(), "id", "left_semi").distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame, shared: str | None = None) -> DataFrame:
+    """(id, community): connected nodes share a number, counted from 0 by their smallest id; all nodes of type `shared` get one more.
+
+    nodes (id, type) and edges (src, dst); edges at shared or unknown nodes connect nothing. Each round takes the
+    neighbours' smallest label, then that label's own label, so long chains take few rounds; checkpoints cut the lineage.
+    """
+    own = nodes.where(~F.col("type").eqNullSafe(shared) | F.lit(shared is None)).select("id").distinct()
+    ends = edges.select("src", "dst").where("src <> dst").join(own.select(F.col("id").alias("src")), "src", "left_semi").join(own.select(F.col("id").alias("dst")), "dst", "left_semi")
+    both = kept(ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = kept(own.select("id", F.col("id").alias("label")))
+    while True:
+        near = both.join(labels, both.dst == labels.id).groupBy(F.col("src").alias("id")).agg(F.min("label").alias("_near"))
+        lower = labels.join(near, "id", "left").select("id", F.col("label").alias("_old"), F.least("label", F.coalesce("_near", "label")).alias("label"))
+        above = labels.select(F.col("id").alias("label"), F.col("label").alias("_up"))
+        new = kept(lower.join(above, "label").select("id", "_old", F.least("label", "_up").alias("label")))
+        labels = new.select("id", "label")
+        if new.where("label <> _old").isEmpty():
+            break
+    numbers = _dense(labels.select(F.col("label").alias("name")).distinct())
+    out = labels.join(numbers, labels.label == numbers.name).select("id", F.col("index").alias("community"))
+    if shared is None:
+        return out
+    extra = F.broadcast(numbers.agg(F.count("*").alias("community")))
+    return out.unionByName(nodes.where(F.col("type") == shared).select("id").distinct().crossJoin(extra))
+
+
+def search(nodes: DataFrame, words: str, most: int = 15) -> DataFrame:
+    """(node, degree): nodes whose name holds the words in any case, by degree."""
+    return nodes.where(F.contains(F.lower("node"), F.lit(words.lower()))).orderBy(F.desc("degree"), "node").limit(most).select("node", "degree")
+
+
+def borders(cells: DataFrame, x: str, y: str) -> DataFrame:
+    """(ax, ay, bx, by): touching cells of a grid, each pair once. Each cell names four of its neighbours, which are joined by equality."""
+    cell = cells.select(F.col(x).alias("ax"), F.col(y).alias("ay")).distinct()
+    around = F.explode(F.array(*[F.struct((F.col("ax") + i).alias("bx"), (F.col("ay") + j).alias("by")) for i, j in ((1, -1), (1, 0), (1, 1), (0, 1))]))
+    return cell.select("ax", "ay", around.alias("_b")).select("ax", "ay", "_b.bx", "_b.by").join(cell.select(F.col("ax").alias("bx"), F.col("ay").alias("by")), ["bx", "by"])
+
+
+def maritime(encounters: DataFrame, borders_: DataFrame, permits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of encounters (event, vessel, cell, species), bordering cells (a, b) and permits (vessel, permit).
+
+    Nodes are (id, type), edges (src, dst, relation), each once; permits of vessels that no encounter names are left out.
+    """
+    name = lambda kind, c: F.concat(F.lit(f"{kind}_"), F.regexp_replace(F.lower(F.col(c).cast("string")), " ", "_"))
+    vessel, cell, event, species = name("vessel", "vessel"), name("cell", "cell"), name("event", "event"), name("species", "species")
+    edge = lambda a, b, r: F.struct(a.alias("src"), b.alias("dst"), F.lit(r).alias("relation"))
+    seen = encounters.select(F.explode(F.array(edge(vessel, cell, "DETECTED_IN"), edge(vessel, event, "ENCOUNTERED"), edge(event, species, "ENCOUNTERED"))).alias("e")).select("e.*").where("src IS NOT NULL AND dst IS NOT NULL")
+    touch = borders_.select(name("cell", "a").alias("src"), name("cell", "b").alias("dst"), F.lit("BORDERS").alias("relation"))
+    held = permits.join(encounters.select("vessel").distinct(), "vessel", "left_semi").select(vessel.alias("src"), name("permit", "permit").alias("dst"), F.lit("HAS_PERMIT").alias("relation"))
+    edges = seen.unionByName(touch).unionByName(held).distinct()
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ids.select("id", F.split_part("id", F.lit("_"), F.lit(1)).alias("type")), edges
+
+
+def note_edges(links: DataFrame, key: str, target: str) -> DataFrame:
+    """(src, dst, relation, weight) of notes' links: ids in upper case with _ for other signs; repeats add 0.1."""
+    plain = F.regexp_replace(F.upper(F.split_part(F.col(target), F.lit("|"), F.lit(1))), r"[^\p{L}\p{N}]+", "_")
+    rows = links.select(F.concat(F.lit("PROYECTO_"), F.upper(key)).alias("src"), plain.alias("dst"), F.lit("VINCULADO_A").alias("relation"))
+    return rows.groupBy("src", "dst", "relation").agg(F.round(1.0 + 0.1 * (F.count("*") - 1), 4).alias("weight"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,10 @@ def accumulate_weight(old: DataFrame, seen: DataFrame, keys: list[str], step: fl
 def increment(old: DataFrame, seen: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """Counters by key: old counts plus the rows seen."""
     return old.select(*keys, count).unionByName(seen.select(*keys, F.lit(1).cast("long").alias(count))).groupBy(*keys).agg(F.sum(count).alias(count))
+
+
+def update_matching(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], stamp: str | None = None, now: Column | None = None) -> DataFrame:
+    """Only keys of old are updated, only in `columns` and only by values that are not null; changed rows get the stamp."""
+    both = old.alias("o").join(new.select(*keys, *columns, F.lit(True).alias("_hit")).alias("n"), keys, "left")
+    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in columns else F.when(F.col("_hit"), now).otherwise(F.col(f"o.{c}")).alias(c) if c == stamp else F.col(f"o.{c}")
+    return both.select(*keys, *[pick(c) for c in old.columns if c not in keys])
