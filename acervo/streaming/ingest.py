@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def stream_documents(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
@@ -31,3 +33,53 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, transform: Callable[
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def change_events(stream: DataFrame, path: str = "path", time: str = "mtime") -> DataFrame:
+    """(kind, name, at): what an arriving file is by its suffix and folder; others are left out."""
+    low = F.lower(F.col(path))
+    kind = F.when(low.endswith(".pdf") & low.contains("gaceta"), "gazette").when(low.endswith(".pdf"), "document").when(low.endswith(".md"), "text").when(low.endswith(".json"), "report")
+    return stream.select(kind.alias("kind"), F.element_at(F.split(F.col(path), "/"), -1).alias("name"), F.col(time).alias("at")).where("kind IS NOT NULL")
+
+
+def poll(spark: SparkSession, work: Callable[[SparkSession], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
+    """Writes what `work` finds at each tick, such as the next few incomplete rows after enrichment."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, _: write(work(batch.sparkSession))).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def once_a_date(spark: SparkSession, job: Callable[[], None], ledger: str, date: str) -> bool:
+    """Runs the job unless the ledger folder holds its date, and notes the date after it; says whether it ran."""
+    done = spark.read.schema("date string").option("recursiveFileLookup", "true").json(ledger).where(F.col("date") == date) if _there(spark, ledger) else None
+    if done is not None and not done.isEmpty():
+        return False
+    job()
+    spark.range(1).select(F.lit(date).alias("date")).write.mode("append").json(ledger)
+    return True
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path).limit(0).collect()
+    except AnalysisException:
+        return False
+    return True
+
+
+class Progress(StreamingQueryListener):
+    """The last progress events of all streams: (status, query, batch, rows)."""
+
+    def __init__(self, most: int = 1000) -> None:
+        self.events: deque = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.events.append(("started", str(event.id), -1, 0))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.events.append(("progress", str(event.progress.id), event.progress.batchId, event.progress.numInputRows))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.events.append(("idle", str(event.id), -1, 0))
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.events.append(("failed" if event.exception else "done", str(event.id), -1, 0))
