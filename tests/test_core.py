@@ -5,7 +5,8 @@ import pytest
 
 from acervo.functions.lookups import heal_key
 from acervo.operators import files, joins, keys, notes, quality, sequences, text, upsert
-from acervo.plans import collection, registry  # noqa: F401
+from acervo.operators import graph, records
+from acervo.plans import collection, registry, vault  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def rows(frame):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "customer orders lineitem events documents embeddings labels part pages".split():
+    for name in "region nation supplier customer orders lineitem events documents embeddings labels part pages".split():
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
@@ -117,3 +118,48 @@ def test_notes(spark):
     assert [r.t for r in notes.broken_links(links, stems, "t", "s").collect()] == ["B"]
     texts = spark.createDataFrame([("zona  núcleo",), ("NOM-059 especie P sin nada",), ("nom-059 P con plan de manejo",), (None,)], "t string")
     assert [len(r[0]) for r in texts.select(notes.knockouts(F.col("t"))).collect()] == [1, 1, 0, 0]
+
+
+@pytest.mark.parametrize("name", ["classified_items", "permit_match", "cell_borders", "preferred_document", "page_stats", "best_chunks", "refined_registry", "stage_contracts", "patched_notes", "backsynced", "maritime_graph", "note_graph", "cited_context"])
+def test_vault_matches_sql(spark, duck, name):
+    test_matches_sql(spark, duck, name)
+
+
+def test_components(spark):
+    nodes = spark.createDataFrame([(x, "a") for x in "bcdefgh"] + [("z", "cell"), ("y", "cell")], "id string, type string")
+    edges = [("h", "g"), ("g", "f"), ("f", "e"), ("c", "d"), ("b", "z"), ("c", "z"), ("e", "?"), ("b", "b")]
+    want = {"b": 0, "c": 1, "d": 1, **dict.fromkeys("efgh", 2), "y": 3, "z": 3}
+    for order in (edges, edges[::-1]):
+        got = graph.components(nodes, spark.createDataFrame(order, "src string, dst string"), "cell")
+        assert {r.id: r.community for r in got.collect()} == want
+    assert graph.components(nodes.limit(0), spark.createDataFrame(edges, "src string, dst string")).count() == 0
+
+
+def test_classify(spark):
+    paths = ["x/21PU2025H0155.estudio.pdf", "ASEA_GACETA_1-2026.pdf", "gaceta_ASEA_12_2025.pdf", "otro.pdf", "99ZZ2020Q123.pdf", None]
+    got = [r.item for r in files.classify(spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i long, p string"), "p").orderBy("i").collect()]
+    assert [(x.clave, x.valid, x.source, x.sector_name, x.state_name, x.year, x.category) for x in got] == [
+        ("21PU2025H0155", True, "SEMARNAT", "Sector Hidrocarburos", "Puebla", 2025, "estudio"),
+        ("ASEA-GACETA-01-2026", False, "ASEA", "Sector Hidrocarburos", "Nacional/Marino", 2026, "gaceta"),
+        ("ASEA-GACETA-12-2025", False, "ASEA", "Sector Hidrocarburos", "Nacional/Marino", 2025, "gaceta"),
+        ("OTRO", False, "SEMARNAT", "Desconocido", "Desconocido", None, "desconocido"),
+        ("99ZZ2020Q123", True, "SEMARNAT", "Sector 99", "ZZ", 2020, "desconocido"),
+        ("", False, "SEMARNAT", "Desconocido", "Desconocido", None, "desconocido"),
+    ]
+
+
+def test_records(spark):
+    names = spark.createDataFrame([(1, "Mar Azul 77"), (2, "77-B"), (3, None), (4, "")], "k long, n string")
+    permits = spark.createDataFrame([("p", " 77 "), ("q", "AZUL"), ("r", ""), ("s", None)], "id string, reg string")
+    assert sorted((r.k, r.id) for r in records.contained(names, "n", permits, "reg").collect()) == [(1, "p"), (1, "q"), (2, "p")]
+    with pytest.raises(ValueError):
+        records.guarded_select(spark, "SELECT 1; DROP TABLE x", {})
+    rows = spark.createDataFrame([("a9999", 1, True), ("b", 2, True), ("b", 3, True), ("c", 4, False)], "k string, o long, f boolean")
+    assert {r.o: r.reason for r in records.remediation(rows, "k", "o", F.col("f")).collect()} == {1: "mock", 2: None, 3: "duplicate", 4: "no file"}
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "id long, v string, at string")
+    new = spark.createDataFrame([(1, None), (2, "c"), (3, "d")], "id long, v string")
+    assert rows_of(upsert.update_matching(old, new, ["id"], ["v"], "at", F.lit("now"))) == [(1, "a", "now"), (2, "c", "now")]
+
+
+def rows_of(frame):
+    return sorted(tuple(r) for r in frame.collect())
