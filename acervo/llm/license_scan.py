@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm._text import pieces
-from acervo.llm.line_dedup import units
+from acervo.llm._text import BASE, SPACE, U64, mix, pieces, powers, words
 
-#: Last bytes of a sentence.
-STOPS = b".!?:;"
+#: Last bytes of a sentence; bytes of comment marks and bullets, which are left out at line starts.
+STOPS, MARKS = b".!?:;", b"#*/;%>-<!|"
 #: Known sentences of public licence texts: identifier -> sentences that mean it.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "copyright-all": ("All rights reserved.",),
@@ -23,7 +22,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "apache2-by-name": ("Licensed under the Apache License, Version 2.0.", "This work is licensed under the Apache License, Version 2.0."),
     "apache2-header": ('Licensed under the Apache License, Version 2.0 (the "License");',),
     "apache2-comply": ("you may not use this file except in compliance with the License.",),
-    "apache2-copy": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",),
+    "apache2-copy": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at"),
     "gpl3-by-name": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."),
     "gpl-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
     "gpl2-free": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
@@ -59,16 +58,65 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 
-def _sentence_digests(sentences: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, list[tuple[str, int, int]]]:
-    """First unit hash of each known sentence, sorted, and (identifier, units it spans, hash of all its units)."""
-    found: dict[int, tuple[str, int, int]] = {}
+class _Text:
+    """Words of texts without comment marks, and the candidates for known sentences.
+
+    A candidate starts at a line or sentence start and ends at the next sentence end or at the end of its line.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        data = _unmarked(data, offsets)
+        self.begin, ends, hashes = words(data, offsets)
+        n = len(self.begin)
+        self.text = np.searchsorted(offsets, self.begin, "right") - 1
+        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * powers(n), dtype=U64)])
+        self.back = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, U64(pow(int(BASE), -1, 1 << 64)))]), dtype=U64)
+        if not n:
+            self.sentences = self.first = self.end = np.zeros(0, np.int64)
+            return
+        breaks = np.concatenate([[0], np.cumsum(data == 10)])
+        gap = breaks[self.begin[1:]] - breaks[ends[:-1]]
+        line, stop = np.ones(n, bool), np.isin(data[ends - 1], np.frombuffer(STOPS, np.uint8))
+        apart = self.text[1:] != self.text[:-1]
+        line[:-1] = apart | (gap > 0)
+        stop[:-1] |= apart | (gap > 1)
+        stop[-1] = True
+        self.sentences = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], (stop | line)[:-1]]))
+        to = [np.flatnonzero(x) for x in (stop, stop | line)]
+        ends_ = [x[np.searchsorted(x, starts)] + 1 for x in to]
+        short = ends_[1] < ends_[0]
+        self.first, self.end = np.concatenate([starts, starts[short]]), np.concatenate([ends_[0], ends_[1][short]])
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of words."""
+        return mix((self.sums[end] - self.sums[first]) * self.back[first] + (end - first).astype(U64))
+
+
+def _unmarked(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes with blanks in place of the comment marks at line starts; carriage returns go the same way as blanks."""
+    if not len(data):
+        return data
+    mark = np.isin(data, np.frombuffer(MARKS, np.uint8))
+    other = np.concatenate([[0], np.cumsum(~(mark | SPACE[data]))])
+    head = np.concatenate([[True], data[:-1] == 10])
+    head[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.maximum.accumulate(np.where(head, np.arange(len(data)), 0))
+    return np.where(mark & (other[:-1] == other[at]), np.uint8(32), data)
+
+
+def _sentence_digests(sentences: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
+    """First hash of each known sentence up to its first stop, sorted, and its (identifier, words, hash of all) with most words first."""
+    found: dict[int, list[tuple[str, int, int]]] = {}
     for name, variants in sentences.items():
         for variant in variants:
             raw = np.frombuffer(variant.encode(), np.uint8)
-            digest = units(raw, np.array([0, len(raw)]), STOPS)[4]
-            found[int(digest[0, 0])] = (name, len(digest), hash(tuple(digest[:, 0].tolist())))
+            known = _Text(raw, np.array([0, len(raw)]))
+            n = len(known.begin)
+            whole = known.digests(np.array([0]), np.array([n]))
+            found.setdefault(int(known.digests(known.first[:1], known.end[:1])[0]), []).append((name, n, int(whole[0])))
     keys = np.array(sorted(found), np.uint64)
-    return keys, [found[int(k)] for k in keys]
+    return keys, [sorted(found[int(k)], key=lambda x: -x[1]) for k in keys]
 
 
 def match_rules(sequence: list[str], rules: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[int, str]]:
@@ -86,7 +134,9 @@ def match_rules(sequence: list[str], rules: tuple[tuple[str, tuple[str, ...]], .
 def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: dict[str, tuple[str, ...]] | None = None, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
     """One row for each row of docs: (id_column, n_sentences, sentence_ids, licenses, first_offset).
 
-    Sentences end at . ! ? : ; or at a line break; A-Z count as a-z and blanks as one. sentence_ids joins the known sentences
+    Sentences end at . ! ? : ; or at a blank line and run on over single line breaks; A-Z count as a-z, blanks as one, and
+    comment marks at line starts as blanks. A known sentence may begin at a sentence or a line start, and may be a line
+    or a part of one up to its end. n_sentences counts sentences, not the lines within. sentence_ids joins the known sentences
     in text order; licenses joins the distinct licences found, sorted; first_offset is the byte where the first known
     sentence begins (-1 without one). Null, empty and plain texts give empty strings. Repeated rows and null ids come out
     as they come in; other columns are not read.
@@ -96,17 +146,20 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                text, begin, _, _, digest = units(data, offsets, STOPS)
-                ones = digest[:, 0]
+                parsed = _Text(data, offsets)
+                ones = parsed.digests(parsed.first, parsed.end)
                 hits = np.flatnonzero(np.isin(ones, keys))
                 found: dict[int, list[tuple[str, int]]] = {}
-                skip = -1
-                for h in hits:
-                    name, n, whole = known[int(np.searchsorted(keys, ones[h]))]
-                    if h > skip and h + n <= len(text) and text[h + n - 1] == text[h] and hash(tuple(ones[h : h + n].tolist())) == whole:
-                        found.setdefault(int(text[h]), []).append((name, int(begin[h] - offsets[text[h]])))
-                        skip = h + n - 1
-                counts = np.bincount(text, minlength=part.num_rows)
+                skip = 0
+                for h in sorted(hits.tolist(), key=lambda h: (parsed.first[h], -parsed.end[h])):
+                    first = int(parsed.first[h])
+                    for name, n, whole in known[int(np.searchsorted(keys, ones[h]))]:
+                        end = first + n
+                        if first >= skip and end <= len(parsed.text) and parsed.text[end - 1] == parsed.text[first] and int(parsed.digests(np.array([first]), np.array([end]))[0]) == whole:
+                            doc = int(parsed.text[first])
+                            found.setdefault(doc, []).append((name, int(parsed.begin[first] - offsets[doc])))
+                            skip = end
+                counts = np.bincount(parsed.text[parsed.sentences], minlength=part.num_rows)
                 rows = [found.get(i, []) for i in range(part.num_rows)]
                 ids = [" ".join(n for n, _ in x) for x in rows]
                 licenses = [" ".join(sorted({n for _, n in match_rules([n for n, _ in x], rules)})) for x in rows]
