@@ -3,6 +3,10 @@
 A unit is a sentence within a line: words up to one that ends in . ! or ?, or up to a line break. Its digest hashes its
 words, with A-Z lower-cased and blanks ignored. Digests are grouped over all documents and the first occurrence, by
 document id and place, is kept.
+
+Sentences of more than LONG words, line breaks aside, are also cut into pieces where the hash of a word pair is the least
+of its surroundings. Pieces depend on the words around them only, so a passage meets its copy in a line without stops, in
+a sentence with an edited word, or under other line breaks.
 """
 
 from __future__ import annotations
@@ -19,37 +23,74 @@ from acervo.llm import _bloom
 from acervo.llm._text import U64, kept, mix, pieces, powers, signed, word_bounds, words
 
 #: Runs of repeated units are removed from so many words on.
-MIN_WORDS = 25
+MIN_WORDS = 1
+#: Sentences of more words are cut into pieces; a piece begins at the least word pair among so many on either side.
+LONG, AROUND = 16, 3
+#: Runs that hold parts of sentences are removed from so many words on.
+PASSAGE = 12
+
 
+class Atoms:
+    """Words of all texts, and their units and pieces as (first word, number of words, two hashes as (n, 2))."""
 
-def units(data: np.ndarray, offsets: np.ndarray, stops: bytes = b".!?") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the units of all texts: text, first byte, end of the last word, number of words, and two hashes as (n, 2)."""
-    starts, ends, hashes = words(data, offsets)
-    if not len(starts):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.starts, ends, hashes = words(data, offsets)
+        self.at = word_bounds(self.starts, offsets)
+        self.text = np.searchsorted(offsets, self.starts, "right") - 1
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros((0, 2), U64)
-    text = np.searchsorted(offsets, starts, "right") - 1
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    stop = np.isin(data[ends - 1], np.frombuffer(stops, np.uint8))
-    stop[:-1] |= (lines[starts[1:]] != lines[ends[:-1]]) | (text[1:] != text[:-1])
-    stop[-1] = True
+        self.units = self.pieces = none, none, np.zeros((0, 2), U64)
+        if not len(self.starts):
+            return
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+        stop[:-1] |= self.text[1:] != self.text[:-1]
+        stop[-1] = True
+        broken = stop.copy()
+        broken[:-1] |= lines[self.starts[1:]] != lines[ends[:-1]]
+        self.units = _runs_of(hashes, broken, U64(0))
+        sentence = np.cumsum(np.concatenate([[False], stop[:-1]]))
+        words_in = np.flatnonzero(np.bincount(sentence)[sentence] > LONG)
+        if len(words_in):
+            first, count, digest = _runs_of(hashes[words_in], _cuts(hashes[words_in], sentence[words_in]), U64(0x8EBC6AF09C88C6E3))
+            self.pieces = words_in[first], count, digest
+
+
+def _runs_of(hashes: np.ndarray, stop: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and two hashes of the runs of words that end where stop is set."""
     last = np.flatnonzero(stop)
     first = np.concatenate([[0], last[:-1] + 1])
     count = last - first + 1
-    place = np.arange(len(starts)) - np.repeat(first, count)
-    factor = powers(int(count.max()) + 1)[place]
-    one = mix(np.add.reduceat(hashes * factor, first, dtype=U64) + count.astype(U64))
-    two = mix(np.add.reduceat(mix(hashes ^ U64(0xA0761D6478BD642F)) * factor, first, dtype=U64) ^ count.astype(U64))
-    return text[first], starts[first], ends[last], count, np.stack([one, two], axis=1)
+    factor = powers(int(count.max()) + 1)[np.arange(len(hashes)) - np.repeat(first, count)]
+    one = mix(np.add.reduceat(hashes * factor, first, dtype=U64) + count.astype(U64) ^ salt)
+    two = mix(np.add.reduceat(mix(hashes ^ U64(0xA0761D6478BD642F)) * factor, first, dtype=U64) ^ count.astype(U64) ^ salt)
+    return first, count, np.stack([one, two], axis=1)
+
+
+def _cuts(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Which words end a piece: the last of each sentence, and those before a least pair."""
+    pair = mix(hashes * U64(3))
+    pair[:-1] = mix(hashes[:-1] * U64(3) + hashes[1:])
+    least = np.zeros(len(hashes), bool)
+    inner = slice(AROUND, len(hashes) - AROUND - 1)
+    middle = pair[inner]
+    good = (sentence[: len(middle)] == sentence[inner]) & (sentence[2 * AROUND + 1 :][: len(middle)] == sentence[inner])
+    for d in range(1, AROUND + 1):
+        good &= (middle < pair[AROUND - d :][: len(middle)]) & (middle <= pair[AROUND + d :][: len(middle)])
+    least[inner] = good
+    stop = np.ones(len(hashes), bool)
+    stop[:-1] = least[1:] | (sentence[1:] != sentence[:-1])
+    return stop
 
 
 def _firsts(docs: DataFrame, filter_: object = None) -> DataFrame:
-    """(id, h1, h2): the distinct units of each document."""
+    """(id, h1, h2): the distinct units and pieces of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                text, _, _, _, digest = units(data, offsets)
+                atoms = Atoms(data, offsets)
+                text = atoms.text[np.concatenate([atoms.units[0], atoms.pieces[0]])]
+                digest = np.concatenate([atoms.units[2], atoms.pieces[2]])
                 if filter_ is not None:
                     good = _bloom.passes(filter_.value, digest[:, 0])
                     text, digest = text[good], digest[good]
@@ -64,7 +105,7 @@ def _firsts(docs: DataFrame, filter_: object = None) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """docs (id, text) -> (id, h1, h2): units that a document with a smaller id has too."""
+    """docs (id, text) -> (id, h1, h2): units and pieces that a document with a smaller id has too."""
     shared = kept(_firsts(docs).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first"))
     filter_ = docs.sparkSession.sparkContext.broadcast(_bloom.build(shared, "h1", 25))
     return _firsts(docs, filter_).join(shared, ["h1", "h2"]).where("id > first").select("id", "h1", "h2").distinct()
@@ -74,9 +115,11 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """One row for each row of docs: all its columns, with the text replaced by what is kept, and `dedup`.
 
     dedup is a struct (n_units, n_removed, kept_sha256, spans): spans are the removed byte ranges (start, end) of the
-    UTF-8 of the original text. A unit is repeated if it stands earlier in the text or in a document with a smaller id.
-    Runs of repeated units that hold `min_words` words or more are removed, with the blanks up to the next unit; shorter
-    ones, such as headings, stay.
+    UTF-8 of the original text, and n_removed counts the units that lose words. A unit or piece is repeated if it
+    stands earlier in the text or in a document with a smaller id. Runs of repeated units that hold `min_words` words or
+    more are removed, with the blanks up to the next word; by default each repeated unit is. Repeated pieces of long
+    sentences are removed where they and repeated units next to them make a run of `min_words` words, and PASSAGE at
+    least; the few words of a repeated passage before its first cut and after its last one stay.
 
     A null text stays null with no units; a text that is wholly repeated becomes empty. Rows that repeat an id count as
     one document, so they don't remove each other's units. Rows with a null id lose only what repeats within them. A
@@ -91,22 +134,26 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, text_column):
-                text, begin, _, count, digest = units(data, offsets)
-                at = np.searchsorted(text, np.arange(part.num_rows + 1))
+                atoms = Atoms(data, offsets)
+                ufirst, ucount, udigest = atoms.units
+                pfirst, pcount, pdigest = atoms.pieces
+                uat, pat = np.searchsorted(ufirst, atoms.at), np.searchsorted(pfirst, atoms.at)
                 found_, nulls = part.column("_found"), part.column(text_column).is_null()
                 texts, rows = [], []
                 for i in range(part.num_rows):
                     raw = data[offsets[i] : offsets[i + 1]]
-                    mine = digest[at[i] : at[i + 1]]
+                    u, p, w = slice(uat[i], uat[i + 1]), slice(pat[i], pat[i + 1]), slice(atoms.at[i], atoms.at[i + 1])
                     spans: list[tuple[int, int]] = []
                     removed = 0
-                    if len(mine):
-                        repeats = _repeats(mine, found_[i])
-                        if repeats.any():
-                            spans, removed = _runs(repeats, begin[at[i] : at[i + 1]] - offsets[i], count[at[i] : at[i + 1]], len(raw), min_words)
+                    again, part_again = _repeats(udigest[u], found_[i]), _repeats(pdigest[p], found_[i])
+                    if again.any() or part_again.any():
+                        gone = _gone(w.stop - w.start, (ufirst[u] - w.start, ucount[u], again), (pfirst[p] - w.start, pcount[p], part_again), min_words)
+                        removed = int(np.logical_or.reduceat(gone, ufirst[u] - w.start).sum())
+                        begin = np.append(atoms.starts[w] - offsets[i], len(raw))
+                        spans = [(int(begin[a]), int(begin[b])) for a, b in _edges(gone)]
                     keep = cut(raw, spans)
                     texts.append(None if nulls[i].as_py() else keep.decode())
-                    rows.append({"n_units": len(mine), "n_removed": removed, "kept_sha256": hashlib.sha256(keep).hexdigest(), "spans": [{"start": a, "end": b} for a, b in spans]})
+                    rows.append({"n_units": u.stop - u.start, "n_removed": removed, "kept_sha256": hashlib.sha256(keep).hexdigest(), "spans": [{"start": a, "end": b} for a, b in spans]})
                 columns = [pa.array(texts, part.schema.field(text_column).type) if c == text_column else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.struct(list(fields.items())))], [*names, "dedup"])
 
@@ -115,8 +162,8 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def _repeats(mine: np.ndarray, found: pa.Scalar) -> np.ndarray:
-    """Which units of a text repeat an earlier one of it, or are among those found elsewhere."""
-    keys = mine.copy().view([("a", U64), ("b", U64)]).reshape(-1)
+    """Which units or pieces of a text repeat an earlier one of it, or are among those found elsewhere."""
+    keys = np.ascontiguousarray(mine).view([("a", U64), ("b", U64)]).reshape(-1)
     _, first = np.unique(keys, return_index=True)
     out = np.ones(len(keys), bool)
     out[first] = False
@@ -126,14 +173,31 @@ def _repeats(mine: np.ndarray, found: pa.Scalar) -> np.ndarray:
     return out
 
 
-def _runs(repeats: np.ndarray, begin: np.ndarray, count: np.ndarray, size: int, min_words: int) -> tuple[list[tuple[int, int]], int]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], repeats.view(np.int8), [0]])))
-    spans, removed = [], 0
-    for a, b in edges.reshape(-1, 2):
-        if count[a:b].sum() >= min_words:
-            spans.append((int(begin[a]), int(begin[b]) if b < len(begin) else size))
-            removed += int(b - a)
-    return spans, removed
+def _edges(mask: np.ndarray) -> np.ndarray:
+    """(first, end) of the runs of set places."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2)
+
+
+def _spread(size: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of `size` words lie in the marked ones of runs (first word, number of words, mark)."""
+    first, count, mark = runs
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, first[mark], 1)
+    np.add.at(steps, first[mark] + count[mark], -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _gone(size: int, units: tuple[np.ndarray, np.ndarray, np.ndarray], parts: tuple[np.ndarray, np.ndarray, np.ndarray], min_words: int) -> np.ndarray:
+    """Which words of a text go: those of long enough runs of repeated units, and of repeated pieces beside them."""
+    whole = _spread(size, units)
+    gone = np.zeros(size, bool)
+    for a, b in _edges(whole):
+        gone[a:b] = b - a >= min_words
+    if parts[2].any():
+        for a, b in _edges(whole | _spread(size, parts)):
+            if b - a >= max(min_words, PASSAGE):
+                gone[a:b] = True
+    return gone
 
 
 def cut(raw: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
