@@ -58,9 +58,37 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.5
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, key: str, k: int = 10, base: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of two (key, score) tables; both are cut to their ranks by a top-k first."""
+    """Reciprocal-rank fusion of two (key, score) tables by the ranks of all their rows.
+
+    The first ranks of either table are the candidates, as no other row can reach the best k; each candidate gets its
+    exact rank in either table by counting the rows before it. A key that one table lacks counts in the other only.
+    """
     depth = 50 * k
-    ranked = lambda d: d.orderBy(F.col("score").desc(), key).limit(depth).withColumn("_r", F.row_number().over(Window.orderBy(F.col("score").desc(), key)))
-    both = ranked(vector).select(key, F.col("_r").alias("_v")).join(ranked(lexical).select(key, F.col("_r").alias("_l")), key, "full")
+    candidates = _first(vector, key, depth).select(key).union(_first(lexical, key, depth).select(key)).distinct()
+    both = _ranks(vector, candidates, key, "_v").join(_ranks(lexical, candidates, key, "_l"), key, "full")
     score = F.coalesce(1 / (base + F.col("_v")), F.lit(0.0)) + F.coalesce(1 / (base + F.col("_l")), F.lit(0.0))
     return both.select(key, F.round(score, 5).alias("score")).orderBy(F.col("score").desc(), key).limit(k)
+
+
+def _first(scored: DataFrame, key: str, depth: int) -> DataFrame:
+    return scored.orderBy(F.col("score").desc(), key).limit(depth)
+
+
+def _ranks(scored: DataFrame, candidates: DataFrame, key: str, name: str, step: int = 32) -> DataFrame:
+    """(key, rank among all rows of scored) of the candidates that scored has.
+
+    Each row falls in the range before one of the sorted candidates, found among every `step`th one and then between two
+    of those; the ranks are running sums over the ranges, of which there are as many as candidates.
+    """
+    # null scores last, then the highest, then the smallest key
+    place = F.struct(F.col("score").isNull().alias("a"), F.coalesce(-F.col("score").cast("double"), F.lit(0.0)).alias("b"), F.col(key).alias("c"))
+    rows = scored.select(place.alias("_p"))
+    own = scored.join(F.broadcast(candidates), key, "left_semi").select(place.alias("_p"))
+    marks = own.agg(F.array_sort(F.collect_list("_p")).alias("_m")).select("_m", F.filter("_m", lambda _, i: i % step == 0).alias("_coarse"))
+    before = lambda marks, p: F.size(F.filter(marks, lambda m: m < p))
+    coarse = F.greatest(before(F.col("_coarse"), F.col("_p")) - 1, F.lit(0)) * step
+    slots = rows.crossJoin(F.broadcast(marks)).withColumn("_c", coarse).select((F.col("_c") + before(F.slice("_m", F.col("_c") + 1, F.lit(step)), F.col("_p"))).alias("_i"))
+    counts = slots.groupBy("_i").agg(F.count("*").alias("_n"))
+    listed = marks.select(F.posexplode("_m").alias("_i", "_p")).join(counts, "_i", "left")
+    rank = F.sum(F.coalesce("_n", F.lit(0))).over(Window.orderBy("_i"))
+    return listed.select(F.col("_p.c").alias(key), rank.alias(name))
