@@ -7,28 +7,58 @@ are retrieved count as leaked when their question and answer words overlap the t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm._text import U64, pieces, shingle_hashes, word_bounds, words
+from acervo.llm._text import U64, pieces, shingle_hashes, signed, word_bounds, words
 
-#: BM25 constants; postings a block; items an index holds at most (more are searched in several indexes).
+#: BM25 constants; postings a block; items an index holds at most (more are dealt to several indexes, by the statistics of all).
 K1, B, BLOCK, ITEMS = 1.2, 0.75, 64, 20_000
 
 
+class Statistics:
+    """Of all items: how many there are, their mean and largest number of words, and the sorted words with the items that hold each."""
+
+    def __init__(self, items: DataFrame):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, data, offsets in pieces(batch, "text"):
+                    starts, _, hashes = words(data, offsets)
+                    at = word_bounds(starts, offsets)
+                    sizes = np.diff(at)
+                    terms = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                    found, times = np.unique(np.concatenate([*terms, np.zeros(0, U64)]), return_counts=True)
+                    none = pa.nulls(1, pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.array([len(sizes)]), pa.array([int(sizes.sum())]), pa.array([int(sizes.max(initial=0))])], ["term", "n", "total", "longest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(times), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())], ["term", "n", "total", "longest"])
+
+        rows = items.select("text").mapInArrow(run, "term long, n long, total long, longest long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest"))
+        # without nulls, as pandas would make floats of the words
+        rows = rows.withColumn("term", F.coalesce("term", F.lit(0).cast("long"))).toPandas()
+        whole = rows[rows["total"].notna()]
+        self.count, self.longest = int(whole["n"].sum()), int(whole["longest"].max()) if len(whole) else 0
+        self.mean = max(int(whole["total"].sum()) / self.count, 1.0) if self.count else 1.0
+        own = rows[rows["total"].isna()]
+        terms = own["term"].to_numpy(np.int64).view(U64)
+        order = np.argsort(terms)
+        self.terms, self.frequency = terms[order], own["n"].to_numpy(np.int64)[order]
+
+
 class Index:
     """Posting lists with block maxima. Impacts are divided by the score an item gives itself, so one threshold holds for all."""
 
-    def __init__(self, ids: list[int], texts: list[str], answer_share: float, ngram: int, threshold: float):
+    def __init__(self, ids: list[int], texts: list[str], answer_share: float, ngram: int, threshold: float, of_all: Statistics):
         raw = [t.encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         starts, _, hashes = words(data, offsets)
         at = word_bounds(starts, offsets)
-        self.ids, self.longest = ids, 0
+        self.ids, self.longest = ids, of_all.longest
         self.question: list[np.ndarray] = []
         self.answer: list[np.ndarray] = []
         self.sizes: list[int] = []
@@ -36,7 +66,6 @@ class Index:
         sizes = np.diff(at)
         for i in range(len(ids)):
             own = hashes[at[i] : at[i + 1]]
-            self.longest = max(self.longest, len(own))
             cut = max(1, len(own) - max(1, round(len(own) * answer_share)))
             self.sizes.append(min(ngram, len(own)))
             whole = shingle_hashes(own, self.sizes[-1])
@@ -47,11 +76,12 @@ class Index:
             for t, n in zip(terms.tolist(), times.tolist(), strict=True):
                 lists.setdefault(t, []).append((i, n))
         self.vocabulary = np.array(sorted(lists), U64)
-        mean, total = max(sizes.mean(), 1.0) if len(ids) else 1.0, np.zeros(len(ids))
+        mean, total = of_all.mean, np.zeros(len(ids))
+        holders = of_all.frequency[np.searchsorted(of_all.terms, self.vocabulary)].tolist()
         self.postings: list[tuple[np.ndarray, np.ndarray]] = []
-        for t in self.vocabulary.tolist():
+        for t, df in zip(self.vocabulary.tolist(), holders, strict=True):
             items, times = (np.array(x) for x in zip(*lists[t], strict=True))
-            idf = np.log(1 + (len(ids) - len(items) + 0.5) / (len(items) + 0.5))
+            idf = np.log(1 + (of_all.count - df + 0.5) / (df + 0.5))
             impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[items] / mean))
             total[items] += impact
             self.postings.append((items, impact))
@@ -105,7 +135,7 @@ class Index:
                     tight += self.blocks[t][p // BLOCK]
                     jump = min(jump, int(items[min((p // BLOCK + 1) * BLOCK, len(items)) - 1]) + 1)
             if tight >= threshold:
-                score = sum(float(self.postings[t][1][p]) for p, (_, _, t) in zip(at, cursors, strict=False) if p < len(self.postings[t][0]) and self.postings[t][0][p] == item)
+                score = math.fsum(float(self.postings[t][1][p]) for p, (_, _, t) in zip(at, cursors, strict=False) if p < len(self.postings[t][0]) and self.postings[t][0][p] == item)
                 if score >= threshold:
                     out.append((item, score))
                 jump = item + 1
@@ -135,54 +165,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     kept. Null ids are one id; items with a null id are left out. Other columns are not read.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    shards = max(1, -(-items.count() // ITEMS))
+    of_all = Statistics(items)
+    shards = max(1, -(-of_all.count // ITEMS))
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    out = None
+    context, shared = docs.sparkSession.sparkContext, []
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).orderBy("item", "text").toPandas()
-        index = Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram, threshold)
-        found = _search(plain, index, threshold, overlap, part_overlap)
-        out = found if out is None else out.union(found)
+        shared.append(context.broadcast(Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram, threshold, of_all)))
+    out = _search(plain, shared, of_all.longest, threshold, overlap, part_overlap)
     best = out.groupBy("id", "item").agg(F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", (-F.col("first_word")).alias("back"))).alias("b"))
     return best.select(F.col("id").alias(id_column), F.col("item").alias(item_id), F.round("b.score", 6).alias("score"), F.round("b.overlap", 6).alias("overlap"), F.round("b.question_overlap", 6).alias("question_overlap"), F.round("b.answer_overlap", 6).alias("answer_overlap"), (-F.col("b.back")).alias("first_word"))
 
 
-def _search(docs: DataFrame, index: Index, threshold: float, overlap: float, part_overlap: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _search(docs: DataFrame, shared: list[Broadcast], longest: int, threshold: float, overlap: float, part_overlap: float) -> DataFrame:
+    """One pass over the texts: each piece is split into words once and searched in every index."""
     names = ["id", "item", "score", "overlap", "question_overlap", "answer_overlap", "first_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        stride = max(ix.longest, 32)
-        table = _Lookup(ix.vocabulary)
+        stride = max(longest, 32)
+        indexes = [(x.value, _Lookup(x.value.vocabulary)) for x in shared]
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
                 starts, _, hashes = words(data, offsets)
                 at = word_bounds(starts, offsets)
-                term = table.find(hashes)
-                known = np.flatnonzero(term >= 0)
-                known = known[ix.first_bound[term[known]]]
-                if not len(known):
-                    continue
-                text = np.searchsorted(at, known, "right") - 1
-                tiles = np.concatenate([[0], np.cumsum(-(-np.diff(at) // stride))])
-                # a window is two tiles; its terms count once
-                key = np.unique((tiles[text] + (known - at[text]) // stride) << 24 | term[known])
-                window = np.unique(np.concatenate([key, key[~np.isin(key >> 24, tiles)] - (1 << 24)]))
-                rows = []
-                for w in ix.reachable(window >> 24, window & 0xFFFFFF, threshold).tolist():
-                    doc = int(np.searchsorted(tiles, w, "right")) - 1
-                    tile_no = w - int(tiles[doc])
-                    lo = int(at[doc]) + tile_no * stride
-                    hi = min(lo + 2 * stride, int(at[doc + 1]))
-                    terms = np.unique(term[lo:hi])
-                    for item, score in ix.search(terms[terms >= 0], threshold):
-                        there = shingle_hashes(hashes[lo:hi], ix.sizes[item])
-                        q, a = (int(np.isin(x[item], there).sum()) for x in (ix.question, ix.answer))
-                        nq, na = len(ix.question[item]), len(ix.answer[item])
-                        rates = (q + a) / (nq + na), q / nq, a / na if na else 1.0
-                        if rates[0] >= overlap and min(rates[1:]) >= part_overlap:
-                            rows.append((doc, ix.ids[item], score, *rates, tile_no * stride))
+                rows = [row for ix, table in indexes for row in _found(ix, table, hashes, at, stride, threshold, overlap, part_overlap)]
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -191,6 +197,33 @@ def _search(docs: DataFrame, index: Index, threshold: float, overlap: float, par
     return docs.mapInArrow(run, "id long, item long, score double, overlap double, question_overlap double, answer_overlap double, first_word long")
 
 
+def _found(ix: Index, table: _Lookup, hashes: np.ndarray, at: np.ndarray, stride: int, threshold: float, overlap: float, part_overlap: float) -> Iterator[tuple]:
+    """(text, item, score, overlaps, first word) of the leaked items of one index in each window of the texts."""
+    term = table.find(hashes)
+    known = np.flatnonzero(term >= 0)
+    known = known[ix.first_bound[term[known]]]
+    if not len(known):
+        return
+    text = np.searchsorted(at, known, "right") - 1
+    tiles = np.concatenate([[0], np.cumsum(-(-np.diff(at) // stride))])
+    # a window is two tiles; its terms count once
+    key = np.unique((tiles[text] + (known - at[text]) // stride) << 24 | term[known])
+    window = np.unique(np.concatenate([key, key[~np.isin(key >> 24, tiles)] - (1 << 24)]))
+    for w in ix.reachable(window >> 24, window & 0xFFFFFF, threshold).tolist():
+        doc = int(np.searchsorted(tiles, w, "right")) - 1
+        tile_no = w - int(tiles[doc])
+        lo = int(at[doc]) + tile_no * stride
+        hi = min(lo + 2 * stride, int(at[doc + 1]))
+        terms = np.unique(term[lo:hi])
+        for item, score in ix.search(terms[terms >= 0], threshold):
+            there = shingle_hashes(hashes[lo:hi], ix.sizes[item])
+            q, a = (int(np.isin(x[item], there).sum()) for x in (ix.question, ix.answer))
+            nq, na = len(ix.question[item]), len(ix.answer[item])
+            rates = (q + a) / (nq + na), q / nq, a / na if na else 1.0
+            if rates[0] >= overlap and min(rates[1:]) >= part_overlap:
+                yield doc, ix.ids[item], score, *rates, tile_no * stride
+
+
 class _Lookup:
     """Places of 64-bit hashes in a sorted vocabulary, through a table over their top bits."""
 
