@@ -113,13 +113,15 @@ def held_out(id_column: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", fit_rows: int = FIT_ROWS, cost: float = 1.0, rounds: int = 30, seed: int = 7) -> Model:
     """Fit to `fit_rows` labelled rows at most: those with the lowest seeded hash of the id that are not held out.
 
-    Rows without label, id or text are left out; of repeated labels of an id the smallest holds. With no labels, or one
+    Rows without label, id or text are left out; of repeated labels of an id the smallest holds, of its texts the one with the
+    smallest hash. With no labels, or one
     class only, the model gives the share of that class (0.5 without labels).
     """
     sample = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     sample = sample.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(fit_rows)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    found = _features(texts.join(F.broadcast(sample), "id")).toPandas().drop_duplicates("id").sort_values("id")
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = _features(one).toPandas().sort_values("id")
     good = found["label"].to_numpy() == 1
     share = (good.sum() + 0.5) / (len(good) + 1)
     if good.all() or not good.any():
