@@ -14,18 +14,28 @@ def delta_hours(points: DataFrame, vessel: str, ts: str, order: str, most: float
     return points.withColumn("delta_hours", F.round(F.least(F.lit(most), F.greatest(F.lit(0.0), F.coalesce(hours, F.lit(0.0)))), 6))
 
 
+def _numbered(points: DataFrame, vessel: str, ts: str, order: str) -> DataFrame:
+    """Adds _n, the points of the vessel, and _i, the point's place from 1 by time: ranks within an hour, behind the running
+    count of the hours before, so that no task holds all points of a vessel."""
+    rows = points.withColumn("_b", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000))
+    hours = rows.groupBy(F.col(vessel).alias("_v"), F.col("_b").alias("_h")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_v")
+    hours = hours.withColumn("_n", F.sum("_c").over(w)).withColumn("_before", F.sum("_c").over(w.orderBy("_h")) - F.col("_c")).drop("_c")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(vessel, "_b").orderBy(ts, order)))
+    rows = rows.join(hours, F.col(vessel).eqNullSafe(F.col("_v")) & F.col("_b").eqNullSafe(F.col("_h")))
+    return rows.withColumn("_i", F.col("_before") + F.col("_r")).drop("_b", "_v", "_h", "_before", "_r")
+
+
 def chronological_split(points: DataFrame, vessel: str, ts: str, order: str, ratio: float = 0.8, least: int = 10) -> DataFrame:
     """Adds part: the first int(n * ratio) points of a vessel train, the rest validate; vessels below `least` are dropped."""
-    w = Window.partitionBy(vessel)
-    rows = points.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least).withColumn("_i", F.row_number().over(w.orderBy(ts, order)))
+    rows = _numbered(points, vessel, ts, order).where(F.col("_n") >= least)
     return rows.withColumn("part", F.when(F.col("_i") <= F.floor(F.col("_n") * ratio), "train").otherwise("validation")).drop("_n", "_i")
 
 
 def sliding_windows(points: DataFrame, vessel: str, ts: str, order: str, value: str, length: int = 32) -> DataFrame:
     """(vessel, window_id, points, mean, past_mean, future_mean): full windows, half a length apart; past is the first 60 %."""
     step, past = length // 2, int(0.6 * length)
-    w = Window.partitionBy(vessel)
-    rows = points.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(ts, order)) - 1)
+    rows = _numbered(points, vessel, ts, order).withColumn("_i", F.col("_i") - 1)
     last = F.floor((F.col("_n") - length) / step)
     ids = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_i") - length) / step) + 1), F.floor(F.col("_i") / step))
     rows = rows.where(F.col("_n") >= length).withColumn("_last", last).select(vessel, value, "_i", "_last", F.explode(ids).alias("window_id")).where("window_id <= _last")
