@@ -66,20 +66,23 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, label int, buckets binary")
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss on unit-length scaled rows with a constant feature."""
-    values = [scale[x] / max(float(np.sqrt((scale[x] ** 2).sum())), 1e-12) for x in rows]
-    w, bias, alpha, random = np.zeros(len(scale)), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
-    norms = np.array([float((v**2).sum()) + 1 for v in values])
+def _descend(rows: list[np.ndarray], y: np.ndarray, squares: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss on unit-length scaled rows with a constant feature.
+
+    Gives the weights of the indicators (those of the scaled rows times the scales), so that no row's values are held.
+    """
+    lengths = np.array([max(float(np.sqrt(squares[x].sum())), 1e-12) for x in rows])
+    norms = np.array([float(squares[x].sum()) for x in rows]) / lengths**2 + 1
+    w, bias, alpha, random = np.zeros(len(squares)), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
     upper = cost * np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
     for _ in range(rounds):
         most = 0.0
         for i in random.permutation(len(y)):
-            x, v = rows[i], values[i]
-            slack = y[i] * (float(w[x] @ v) + bias) - 1
+            x = rows[i]
+            slack = y[i] * (float(w[x].sum()) / lengths[i] + bias) - 1
             new = min(max(alpha[i] - slack / norms[i], 0.0), upper[i])
             if step := (new - alpha[i]) * y[i]:
-                w[x] += step * v
+                w[x] += step / lengths[i] * squares[x]
                 bias += step
                 alpha[i] = new
                 most = max(most, abs(step))
@@ -113,28 +116,28 @@ def held_out(id_column: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", fit_rows: int = FIT_ROWS, cost: float = 1.0, rounds: int = 30, seed: int = 7) -> Model:
     """Fit to `fit_rows` labelled rows at most: those with the lowest seeded hash of the id that are not held out.
 
-    Rows without label, id or text are left out; of repeated labels of an id the smallest holds, of its texts the one with the
-    smallest hash. With no labels, or one
-    class only, the model gives the share of that class (0.5 without labels).
+    Rows without label, id or text are left out; of repeated labels of an id the smallest holds, of its texts the one with
+    the smallest hash. With no labels, or one class only, the model gives the share of that class (0.5 without labels).
     """
     sample = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     sample = sample.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(fit_rows)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
     one = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = _features(one).toPandas().sort_values("id")
-    good = found["label"].to_numpy() == 1
+    # Arrow keeps all rows in a few large buffers, which go back to the system after the fit
+    found = _features(one).toArrow().sort_by("id").combine_chunks()
+    good = found.column("label").to_numpy() == 1
     share = (good.sum() + 0.5) / (len(good) + 1)
     if good.all() or not good.any():
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, float(np.log(share / (1 - share))))
-    rows = [np.frombuffer(x, "<u2").astype(np.int64) for x in found["buckets"]]
+    rows = [np.frombuffer(x.as_buffer(), "<u2") for x in found.column("buckets")]
     counts = np.ones((2, BUCKETS))
     for x, label in zip(rows, good, strict=True):
         counts[int(label), x] += 1
     scale = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    w, bias = _descend(rows, np.where(good, 1.0, -1.0), scale, cost, rounds, seed)
-    margins = np.array([float(w[x] @ scale[x]) / max(float(np.sqrt((scale[x] ** 2).sum())), 1e-12) + bias for x in rows])
+    w, bias = _descend(rows, np.where(good, 1.0, -1.0), scale**2, cost, rounds, seed)
+    margins = np.array([float(w[x].sum()) / max(float(np.sqrt((scale[x] ** 2).sum())), 1e-12) + bias for x in rows])
     slope, offset = _sigmoid(margins, good)
-    return Model(w * scale, scale**2, bias, slope, offset)
+    return Model(w, scale**2, bias, slope, offset)
 
 
 def score_quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
