@@ -1,12 +1,13 @@
-"""Substring dedup by line and sentence hashing.
+"""Substring dedup by line hashing.
 
-A unit is a sentence within a line: words up to one that ends in . ! or ?, or up to a line break. Its digest hashes its
-words, with A-Z lower-cased and blanks ignored. Digests are grouped over all documents and the first occurrence, by
-document id and place, is kept.
+A unit is a line, or a sentence within a line: words up to one that ends in . ! or ?, or up to a line break. Its digest
+hashes its words, with A-Z lower-cased and blanks ignored. Digests are grouped over all documents and the first occurrence,
+by rank of document and place, is kept.
 
-Sentences of more than LONG words, line breaks aside, are also cut into pieces where the hash of a word pair is the least
-of its surroundings. Pieces depend on the words around them only, so a passage meets its copy in a line without stops, in
-a sentence with an edited word, or under other line breaks.
+Passages are also found inside other lines. Parts are sentences, whatever line breaks stand in them; those of more than
+LONG words are cut into pieces where the hash of a word pair is the least of its surroundings. Parts depend on the words
+around them only, so a passage meets its copy in a line without stops, in a sentence with an edited word, or under other
+line breaks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm import _bloom
@@ -26,33 +27,37 @@ from acervo.llm._text import U64, kept, mix, pieces, powers, signed, word_bounds
 MIN_WORDS = 1
 #: Sentences of more words are cut into pieces; a piece begins at the least word pair among so many on either side.
 LONG, AROUND = 16, 3
-#: Runs that hold parts of sentences are removed from so many words on.
+#: Parts of fewer words have no digest and count as repeated between two repeated ones.
+SHORT = 3
+#: Runs that hold parts of lines are removed from so many words on.
 PASSAGE = 12
+#: Rank of a row: its id, those without one last, then the hash of its text.
+RANK = ["id", "t"]
+FOUND = "\u0000found"
 
 
 class Atoms:
-    """Words of all texts, and their units and pieces as (first word, number of words, two hashes as (n, 2))."""
+    """Words of all texts, and their units and parts as (first word, number of words, two hashes as (n, 2))."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, whole_lines: bool):
         self.starts, ends, hashes = words(data, offsets)
         self.at = word_bounds(self.starts, offsets)
         self.text = np.searchsorted(offsets, self.starts, "right") - 1
         none = np.zeros(0, np.int64)
-        self.units = self.pieces = none, none, np.zeros((0, 2), U64)
+        self.units = self.parts = none, none, np.zeros((0, 2), U64)
         if not len(self.starts):
             return
         lines = np.concatenate([[0], np.cumsum(data == 10)])
-        stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
-        stop[:-1] |= self.text[1:] != self.text[:-1]
-        stop[-1] = True
-        broken = stop.copy()
+        apart = np.ones(len(ends), bool)
+        apart[:-1] = self.text[1:] != self.text[:-1]
+        stop = apart | np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+        broken = apart.copy() if whole_lines else stop.copy()
         broken[:-1] |= lines[self.starts[1:]] != lines[ends[:-1]]
         self.units = _runs_of(hashes, broken, U64(0))
         sentence = np.cumsum(np.concatenate([[False], stop[:-1]]))
         words_in = np.flatnonzero(np.bincount(sentence)[sentence] > LONG)
-        if len(words_in):
-            first, count, digest = _runs_of(hashes[words_in], _cuts(hashes[words_in], sentence[words_in]), U64(0x8EBC6AF09C88C6E3))
-            self.pieces = words_in[first], count, digest
+        stop[words_in] |= _cuts(hashes[words_in], sentence[words_in])
+        self.parts = _runs_of(hashes, stop, U64(0x8EBC6AF09C88C6E3))
 
 
 def _runs_of(hashes: np.ndarray, stop: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,15 +87,20 @@ def _cuts(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     return stop
 
 
-def _firsts(docs: DataFrame, filter_: object = None) -> DataFrame:
-    """(id, h1, h2): the distinct units and pieces of each document."""
+def _rank(id_column: str, text_column: str) -> list[Column]:
+    return [F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text_column).alias("t")]
+
+
+def _digests(docs: DataFrame, whole_lines: bool, filter_: object = None) -> DataFrame:
+    """(id, t, h1, h2): the distinct units and parts of each row of docs (id, t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                atoms = Atoms(data, offsets)
-                text = atoms.text[np.concatenate([atoms.units[0], atoms.pieces[0]])]
-                digest = np.concatenate([atoms.units[2], atoms.pieces[2]])
+                atoms = Atoms(data, offsets, whole_lines)
+                first, count, parts = atoms.parts
+                text = atoms.text[np.concatenate([atoms.units[0], first[count >= SHORT]])]
+                digest = np.concatenate([atoms.units[2], parts[count >= SHORT]])
                 if filter_ is not None:
                     good = _bloom.passes(filter_.value, digest[:, 0])
                     text, digest = text[good], digest[good]
@@ -98,54 +108,63 @@ def _firsts(docs: DataFrame, filter_: object = None) -> DataFrame:
                 text, digest = text[order], digest[order]
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)
-                text, digest = text[new], digest[new]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text)), pa.array(signed(digest[:, 0].copy())), pa.array(signed(digest[:, 1].copy()))], ["id", "h1", "h2"])
+                rows, digest = pa.array(text[new]), digest[new]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("t").take(rows), pa.array(signed(digest[:, 0].copy())), pa.array(signed(digest[:, 1].copy()))], ["id", "t", "h1", "h2"])
 
-    return docs.where("id is not null and text is not null").mapInArrow(run, "id long, h1 long, h2 long")
+    return docs.where("text is not null").mapInArrow(run, "id long, t long, h1 long, h2 long")
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """docs (id, text) -> (id, h1, h2): units and pieces that a document with a smaller id has too."""
-    shared = kept(_firsts(docs).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first"))
+def repeated_units(docs: DataFrame, whole_lines: bool = True) -> DataFrame:
+    """docs (id, t, text) -> (id, t, h1, h2): units and parts that a row of lower rank has too.
+
+    A very common digest stands in many rows of the join. No step after the join needs the rows of a digest together, so
+    Spark may deal such a digest out to several tasks.
+    """
+    rank = F.struct(*RANK)
+    shared = kept(_digests(docs, whole_lines).groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").select("h1", "h2", "first"))
     filter_ = docs.sparkSession.sparkContext.broadcast(_bloom.build(shared, "h1", 25))
-    return _firsts(docs, filter_).join(shared, ["h1", "h2"]).where("id > first").select("id", "h1", "h2").distinct()
+    return _digests(docs, whole_lines, filter_).join(shared, ["h1", "h2"]).where(rank > F.col("first")).select("id", "t", "h1", "h2")
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, unit: str = "sentence") -> DataFrame:
     """One row for each row of docs: all its columns, with the text replaced by what is kept, and `dedup`.
 
     dedup is a struct (n_units, n_removed, kept_sha256, spans): spans are the removed byte ranges (start, end) of the
-    UTF-8 of the original text, and n_removed counts the units that lose words. A unit or piece is repeated if it
-    stands earlier in the text or in a document with a smaller id. Runs of repeated units that hold `min_words` words or
-    more are removed, with the blanks up to the next word; by default each repeated unit is. Repeated pieces of long
-    sentences are removed where they and repeated units next to them make a run of `min_words` words, and PASSAGE at
-    least; the few words of a repeated passage before its first cut and after its last one stay.
-
-    A null text stays null with no units; a text that is wholly repeated becomes empty. Rows that repeat an id count as
-    one document, so they don't remove each other's units. Rows with a null id lose only what repeats within them. A
-    column of docs named dedup is replaced. An empty table gives an empty one.
+    UTF-8 of the original text, and n_removed counts the units that lose words. `unit` is "line", or "sentence" for the
+    sentences within lines. A unit or part is repeated if it stands earlier in the text or in a row of lower rank. Runs of
+    repeated units that hold `min_words` words or more are removed, with the blanks up to the next word; by default each
+    repeated unit is. Repeated parts of lines are removed where they and repeated units next to them make a run of
+    `min_words` words, and PASSAGE at least; the few words of a repeated passage before its first cut and after its last
+    one stay.
+
+    Rows rank by id, those with a null id last, then by the hash of their text. A null text stays null with no units; a text
+    that is wholly repeated becomes empty. Rows that repeat both id and text count as one and don't remove each other's
+    units. A column of docs named dedup is replaced; others keep their names and values. An empty table gives an empty one.
     """
-    plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    found = repeated_units(plain).groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("_found"))
+    whole_lines = {"line": True, "sentence": False}[unit]
+    found = repeated_units(docs.select(*_rank(id_column, text_column), F.col(text_column).alias("text")), whole_lines).groupBy(*RANK).agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
     fields = {"n_units": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-    kept_docs = docs.drop("dedup").withColumn("_id", F.col(id_column).cast("long")).join(found.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
-    names = [c for c in kept_docs.columns if c != "_found"]
+    others = docs.drop("dedup")
+    names = others.columns
+    # the caller's columns travel as one struct, so that none can clash with those added here
+    rows = others.select(*_rank(id_column, text_column), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).join(found, RANK, "left").select("row", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in pieces(batch, text_column):
-                atoms = Atoms(data, offsets)
+            own = pa.RecordBatch.from_arrays([*batch.column("row").flatten(), batch.column("found")], [*names, FOUND])
+            for part, data, offsets in pieces(own, text_column):
+                atoms = Atoms(data, offsets, whole_lines)
                 ufirst, ucount, udigest = atoms.units
-                pfirst, pcount, pdigest = atoms.pieces
+                pfirst, pcount, pdigest = atoms.parts
                 uat, pat = np.searchsorted(ufirst, atoms.at), np.searchsorted(pfirst, atoms.at)
-                found_, nulls = part.column("_found"), part.column(text_column).is_null()
+                found_, nulls = part.column(FOUND), part.column(text_column).is_null()
                 texts, rows = [], []
                 for i in range(part.num_rows):
                     raw = data[offsets[i] : offsets[i + 1]]
                     u, p, w = slice(uat[i], uat[i + 1]), slice(pat[i], pat[i + 1]), slice(atoms.at[i], atoms.at[i + 1])
                     spans: list[tuple[int, int]] = []
                     removed = 0
-                    again, part_again = _repeats(udigest[u], found_[i]), _repeats(pdigest[p], found_[i])
+                    again, part_again = _repeats(udigest[u], found_[i]), _repeats(pdigest[p], found_[i]) & (pcount[p] >= SHORT)
                     if again.any() or part_again.any():
                         gone = _gone(w.stop - w.start, (ufirst[u] - w.start, ucount[u], again), (pfirst[p] - w.start, pcount[p], part_again), min_words)
                         removed = int(np.logical_or.reduceat(gone, ufirst[u] - w.start).sum())
@@ -157,8 +176,8 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 columns = [pa.array(texts, part.schema.field(text_column).type) if c == text_column else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.struct(list(fields.items())))], [*names, "dedup"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_docs.drop("_found").schema.fields)
-    return kept_docs.mapInArrow(run, f"{schema}, dedup struct<n_units:long,n_removed:long,kept_sha256:string,spans:array<struct<start:long,end:long>>>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, dedup struct<n_units:long,n_removed:long,kept_sha256:string,spans:array<struct<start:long,end:long>>>")
 
 
 def _repeats(mine: np.ndarray, found: pa.Scalar) -> np.ndarray:
@@ -188,13 +207,17 @@ def _spread(size: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.nd
 
 
 def _gone(size: int, units: tuple[np.ndarray, np.ndarray, np.ndarray], parts: tuple[np.ndarray, np.ndarray, np.ndarray], min_words: int) -> np.ndarray:
-    """Which words of a text go: those of long enough runs of repeated units, and of repeated pieces beside them."""
+    """Which words of a text go: those of long enough runs of repeated units, and of repeated parts beside them."""
     whole = _spread(size, units)
     gone = np.zeros(size, bool)
     for a, b in _edges(whole):
         gone[a:b] = b - a >= min_words
-    if parts[2].any():
-        for a, b in _edges(whole | _spread(size, parts)):
+    first, count, again = parts
+    if again.any():
+        both = whole | _spread(size, parts)
+        for a, b in _edges(_spread(size, (first, count, count < SHORT)) & ~both):  # short parts follow those around them
+            both[a:b] = 0 < a and b < size and both[a - 1] and both[b]
+        for a, b in _edges(both):
             if b - a >= max(min_words, PASSAGE):
                 gone[a:b] = True
     return gone

@@ -44,7 +44,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line")
     return out.select("doc_id", "dedup.n_units", "dedup.n_removed", "dedup.kept_sha256", "dedup.spans")
 
 

@@ -41,8 +41,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand in an earlier one; n_chars follows the text."""
-    out = line_dedup(docs.select(COLUMNS))
+    """Documents without the lines and passages that stand in an earlier one; n_chars follows the text. Null and empty texts stay."""
+    out = line_dedup(docs.select(COLUMNS), unit="line")
     return out.withColumn("n_chars", F.when(F.size("dedup.spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
