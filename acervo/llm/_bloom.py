@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,15 @@ def build(frame: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:
             at = np.flatnonzero(words)
             yield pd.DataFrame({"at": at.astype(np.int32), "word": words[at].view(np.int64)})
 
-    found = frame.select(F.col(column).cast("long").alias(column)).where(F.col(column).isNotNull()).mapInPandas(fill, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row a batch: half a million rows of two numbers would take the driver some hundred MB
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("at", "word")], ["at", "word"])
+
+    found = frame.select(F.col(column).cast("long").alias(column)).where(F.col(column).isNotNull()).mapInPandas(fill, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).mapInArrow(packed, "at binary, word binary").toArrow()
     out = np.zeros(1 << (log2_bits - 6), U64)
-    out[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64).view(U64)
+    for at, word in zip(found.column("at"), found.column("word"), strict=True):
+        out[np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(word.as_buffer(), U64)
     return out
 
 
