@@ -131,3 +131,17 @@ def kept(frame: DataFrame) -> DataFrame:
     path = shared_folder(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+class Grown:
+    """A table in the shared folder that rows are added to; plans over it stay one scan, however often it grew."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.path = spark, schema, shared_folder(spark)
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def add(self, frame: DataFrame) -> None:
+        frame.write.mode("append").parquet(self.path)
+
+    def frame(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
