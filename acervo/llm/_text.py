@@ -114,15 +114,17 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _local_folder() -> str:
+def _local_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "top" not in _local:
         _local["top"] = tempfile.mkdtemp(prefix="acervo-")
     return _local["top"]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """A new folder under spark.checkpoint.dir; where that is unset, a local one in local mode and an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
     return f"{top}/acervo-{uuid.uuid4().hex}"
 
 

@@ -164,19 +164,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     Null and blank texts and items give no rows. Rows that repeat an id count as one document, and their best window is
     kept. Null ids are one id; items with a null id are left out. Other columns are not read.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    of_all = Statistics(items)
-    shards = max(1, -(-of_all.count // ITEMS))
+    items = _items(benchmark, item_id, item_text)
+    limits = threshold, overlap, part_overlap
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    context, shared = docs.sparkSession.sparkContext, []
-    for shard in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).orderBy("item", "text").toPandas()
-        shared.append(context.broadcast(Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram, threshold, of_all)))
-    out = _search(plain, shared, of_all.longest, threshold, overlap, part_overlap)
+    out = _search(plain, *_indexes(items, answer_share, ngram, threshold), *limits)
     best = out.groupBy("id", "item").agg(F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", (-F.col("first_word")).alias("back"))).alias("b"))
     return best.select(F.col("id").alias(id_column), F.col("item").alias(item_id), F.round("b.score", 6).alias("score"), F.round("b.overlap", 6).alias("overlap"), F.round("b.question_overlap", 6).alias("question_overlap"), F.round("b.answer_overlap", 6).alias("answer_overlap"), (-F.col("b.back")).alias("first_word"))
 
 
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _indexes(items: DataFrame, answer_share: float, ngram: int, threshold: float) -> tuple[list[Broadcast], int]:
+    """The indexes of all items, broadcast, and the longest item's number of words."""
+    of_all, shared = Statistics(items), []
+    shards = max(1, -(-of_all.count // ITEMS))
+    for shard in range(shards):
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).orderBy("item", "text").toPandas()
+        shared.append(items.sparkSession.sparkContext.broadcast(Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram, threshold, of_all)))
+    return shared, of_all.longest
+
+
 def _search(docs: DataFrame, shared: list[Broadcast], longest: int, threshold: float, overlap: float, part_overlap: float) -> DataFrame:
     """One pass over the texts: each piece is split into words once and searched in every index."""
     names = ["id", "item", "score", "overlap", "question_overlap", "answer_overlap", "first_word"]
@@ -242,7 +251,24 @@ class _Lookup:
         return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: object) -> DataFrame:
-    """docs without the rows whose text holds a leaked item; all columns stay. Rows with a null id are compared like others."""
-    bad = leaks(docs, benchmark, id_column, text_column, **options).select(F.col(id_column).cast("long").alias("_leaked")).distinct()
-    return docs.join(bad, F.col(id_column).cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, ngram: int = 5, overlap: float = 0.8, answer_share: float = 0.5, part_overlap: float = 0.5) -> DataFrame:
+    """docs without the rows whose text holds a leaked item, by the rules of `leaks`; all columns stay.
+
+    Rows are judged alone, in one pass without a shuffle: those that share an id with a leaked row stay, and rows without an
+    id are judged like others. Null and empty texts stay.
+    """
+    shared, longest = _indexes(_items(benchmark, item_id, item_text), answer_share, ngram, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stride = max(longest, 32)
+        indexes = [(x.value, _Lookup(x.value.vocabulary)) for x in shared]
+        for batch in batches:
+            for part, data, offsets in pieces(batch, text_column):
+                starts, _, hashes = words(data, offsets)
+                at, clean = word_bounds(starts, offsets), np.ones(part.num_rows, bool)
+                for ix, table in indexes:
+                    for row in _found(ix, table, hashes, at, stride, threshold, overlap, part_overlap):
+                        clean[row[0]] = False
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -140,26 +140,37 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     return Model(w, scale**2, bias, slope, offset)
 
 
-def score_quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id_column, score) for each row of docs: the probability of label 1 for the whole text; null counts as empty.
+def score_rows(docs: DataFrame, model: Model, keep: list[str], text_column: str = "text") -> DataFrame:
+    """The columns `keep` of each row of docs, and `score`: the probability of label 1 for the whole text.
 
-    An empty text has no indicators and gets the score of the bias alone. Repeated rows and null ids come out as they
-    come in; other columns are not read.
+    One pass without a shuffle. Null texts count as empty; an empty text has no indicators and gets the score of the bias
+    alone. A column named score is not kept.
     """
+    keep = [c for c in keep if c != "score"]
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         both = np.stack([m.weights, m.squares], axis=1).astype(np.float32)
         for batch in batches:
-            for part, data, offsets in pieces(batch, "text"):
+            for part, data, offsets in pieces(batch, text_column):
                 for lo, found in _indicators(data, offsets):
                     sums = (found.astype(np.float32) @ both).astype(np.float64)
                     margin = sums[:, 0] / np.maximum(np.sqrt(sums[:, 1]), 1e-12) + m.bias
                     score = 1 / (1 + np.exp(-np.clip(m.slope * margin + m.offset, -30, 30)))
-                    yield pa.RecordBatch.from_arrays([part.column("id").slice(lo, len(found)), pa.array(score)], ["id", "score"])
+                    rows = part.slice(lo, len(found))
+                    yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array(score)], [*keep, "score"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_column)
+    needed = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_column])]
+    return docs.select(needed).mapInArrow(run, ", ".join([*[f"`{c}` {fields[c]}" for c in keep], "score double"]))
+
+
+def score_quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id_column, score) for each row of docs, as score_rows. Repeated rows and null ids come out as they come in; other
+    columns are not read."""
+    plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return score_rows(plain, model, ["id"]).withColumnRenamed("id", id_column)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

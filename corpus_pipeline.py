@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm._text import kept, shared_folder
-from acervo.llm.decontaminate import leaks
+from acervo.llm.decontaminate import decontaminate
 from acervo.llm.line_dedup import line_dedup
 from acervo.llm.mixing import mix
 from acervo.llm.ngram_jaccard import ngram_jaccard
-from acervo.llm.quality import fit_quality, score_quality
+from acervo.llm.quality import fit_quality, score_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Score from which the classifier accepts a text, as in `quality`.
@@ -20,22 +20,23 @@ THRESHOLD = 0.7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the quality classifier accepts, whatever their id; rows without an id too."""
+    """Rows whose text the quality classifier accepts, whatever their id; rows without an id too. A null text is scored as empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    good = score_quality(keyed.select("_key", "text"), fit_quality(docs, labels), "_key").where(F.col("score") >= THRESHOLD).select("_key").distinct()
-    return keyed.join(good, "_key", "left_semi").select(COLUMNS)
+    return score_rows(docs, fit_quality(docs, labels), COLUMNS).where(F.col("score") >= THRESHOLD).select(COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of rows that share 0.8 or more of their five-word n-grams: that with the smallest id, then the
-    smallest hash of id and text; rows without an id come last. Of rows that repeat id and text one stays."""
+    smallest hash of id and text; rows without an id come last. Of rows that repeat id and text one stays. Null and blank
+    texts have no n-grams, so they are like no other row: all of them stay, but for repeats of id and text."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
     groups = ngram_jaccard(keyed.select("_key", "text"), id_column="_key", ngram=5, percent=80).groupBy("_key").agg(F.min("component_id").alias("_group"), F.count("*").alias("_times"))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_key").alias("c"))
     ids = keyed.select("doc_id", "_key").distinct().join(groups, "_key")
     first = kept(ids.groupBy("_group").agg(F.min(F.struct(place.alias("p"), "_times")).alias("f")).select("f.p.c", "f._times").withColumnRenamed("c", "_key"))
     single = keyed.join(first.where("_times = 1"), "_key", "left_semi").select(COLUMNS)
+    if not first.where("_times > 1").limit(1).count():
+        return single
     repeated = keyed.join(first.where("_times > 1"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("r"))
     return single.union(repeated.select("r.*"))
 
@@ -47,10 +48,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no benchmark item, whatever other rows with their id hold."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    bad = leaks(keyed.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key").select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(COLUMNS)
+    """Rows whose text holds no benchmark item, whatever other rows with their id hold. Null and empty texts stay."""
+    return decontaminate(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
