@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
-Every passage of every training text is a query. Passages in which no item can reach the threshold, by the impacts of
-their rare terms and the most that frequent terms could add, are passed over at once; the others run block-max WAND over the posting lists and retrieve all items above it. Items that
-are retrieved count as leaked when their question and answer words overlap the text around the passage.
+Every passage of every training text is a query. Passages in which no item can reach its threshold, by the impacts of
+their rare terms and the most that frequent terms could add, are passed over at once; the others run block-max WAND over the
+posting lists and retrieve all items above it. Items that are retrieved count as leaked when their question and answer
+words overlap the text around the passage.
 """
 
 from __future__ import annotations
@@ -51,9 +52,14 @@ class Statistics:
 
 
 class Index:
-    """Posting lists with block maxima. Impacts are divided by the score an item gives itself, so one threshold holds for all."""
+    """Posting lists with block maxima. Impacts are divided by what an item needs to be retrieved, so 1 is the threshold of all.
 
-    def __init__(self, ids: list[int], texts: list[str], answer_share: float, ngram: int, threshold: float, of_all: Statistics):
+    An item needs `threshold` of the score that its own text has, or less where a text that passes the overlap check may have
+    less: of n distinct runs of words, (1 - overlap) * n may be missing, and a text that lacks so many runs lacks as many
+    words at most (times as often as a run repeats). The words that bring the item most are counted as missing.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], answer_share: float, ngram: int, threshold: float, overlap: float, of_all: Statistics):
         raw = [t.encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         starts, _, hashes = words(data, offsets)
@@ -62,6 +68,7 @@ class Index:
         self.question: list[np.ndarray] = []
         self.answer: list[np.ndarray] = []
         self.sizes: list[int] = []
+        missing: list[int] = []
         lists: dict[int, list[tuple[int, int]]] = {}
         sizes = np.diff(at)
         for i in range(len(ids)):
@@ -72,6 +79,9 @@ class Index:
             split = min(max(cut - self.sizes[-1] + 1, 1), len(whole))
             self.question.append(np.unique(whole[:split]))
             self.answer.append(np.unique(whole[split:]))
+            distinct, repeats = np.unique(whole, return_counts=True)
+            runs = len(self.question[-1]) + len(self.answer[-1])
+            missing.append(math.floor((1 - overlap) * runs + 1e-9) * int(repeats.max()) * (1 + (runs > len(distinct))))
             terms, times = np.unique(own, return_counts=True)
             for t, n in zip(terms.tolist(), times.tolist(), strict=True):
                 lists.setdefault(t, []).append((i, n))
@@ -85,7 +95,13 @@ class Index:
             impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[items] / mean))
             total[items] += impact
             self.postings.append((items, impact))
-        self.postings = [(i, x / total[i]) for i, x in self.postings]
+        own: list[list[float]] = [[] for _ in ids]
+        for items, impact in self.postings:
+            for i, x in zip(items.tolist(), impact.tolist(), strict=True):
+                own[i].append(x)
+        lost = np.array([sum(sorted(x, reverse=True)[:k]) for x, k in zip(own, missing, strict=True)])
+        self.need = np.maximum(np.minimum(threshold, 1 - lost / total) - 1e-9, 1e-6) if len(ids) else np.zeros(0)
+        self.postings = [(i, x / (total[i] * self.need[i])) for i, x in self.postings]
         self.most = np.array([x.max() for _, x in self.postings])
         self.blocks = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for _, x in self.postings]
         # Lists that cannot bring any item to half the threshold together are left out of the first bound, longest first.
@@ -93,7 +109,7 @@ class Index:
         self.rest, self.first_bound = np.zeros(len(ids)), np.ones(len(self.postings), bool)
         for t in np.argsort(-frequency, kind="stable"):
             items, impact = self.postings[t]
-            if frequency[t] < 2 or (self.rest[items] + impact).max() >= threshold / 2:
+            if frequency[t] < 2 or (self.rest[items] + impact).max() >= 0.5:
                 break
             self.rest[items] += impact
             self.first_bound[t] = False
@@ -101,17 +117,17 @@ class Index:
         self.items = np.concatenate([i for i, _ in self.postings]) if self.postings else np.zeros(0, np.int64)
         self.impacts = np.concatenate([x for _, x in self.postings]) if self.postings else np.zeros(0)
 
-    def reachable(self, owner: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
-        """Owners (windows, sorted) of the given rare terms in which some item can still reach the threshold."""
+    def reachable(self, owner: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Owners (windows, sorted) of the given rare terms in which some item can still be retrieved."""
         count = self.begin[term + 1] - self.begin[term]
         place = np.repeat(self.begin[term] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         item = self.items[place]
         key, inverse = np.unique(np.repeat(owner, count) * len(self.ids) + item, return_inverse=True)
         most = np.bincount(inverse, self.impacts[place], len(key)) + self.rest[key % len(self.ids)]
-        return np.unique(key[most >= threshold - 1e-9] // len(self.ids))
+        return np.unique(key[most >= 1 - 1e-9] // len(self.ids))
 
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: (item, score) of all items that reach the threshold."""
+    def search(self, terms: np.ndarray, threshold: float = 1.0) -> list[tuple[int, float]]:
+        """Block-max WAND: (item, score) of all items that are retrieved; the score is a share of that of the item's own text."""
         out = []
         cursors = [[int(self.postings[t][0][0]), 0, int(t)] for t in terms]  # item, place in the list, term
         while cursors:
@@ -137,7 +153,7 @@ class Index:
             if tight >= threshold:
                 score = math.fsum(float(self.postings[t][1][p]) for p, (_, _, t) in zip(at, cursors, strict=False) if p < len(self.postings[t][0]) and self.postings[t][0][p] == item)
                 if score >= threshold:
-                    out.append((item, score))
+                    out.append((item, score * float(self.need[item])))
                 jump = item + 1
             elif pivot + 1 < len(cursors):
                 jump = min(jump, cursors[pivot + 1][0])
@@ -157,7 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
 
     Passages are windows of twice the longest item (64 words at least) that overlap by the longest item, so that an item
     of any length lies within one. An item is retrieved when its BM25 score, divided by the score of its own text, reaches
-    `threshold`. It has leaked when `overlap` of its runs of `ngram` words (of its whole text if shorter) stand in the
+    `threshold`, or the least that a text with the overlap below can have, if that is less: so no leak is missed. It has leaked when `overlap` of its runs of `ngram` words (of its whole text if shorter) stand in the
     window, and `part_overlap` of those of its question and of its answer (the last `answer_share` of its words). The
     best window of a text is reported; first_word is where it begins.
 
@@ -165,9 +181,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     kept. Null ids are one id; items with a null id are left out. Other columns are not read.
     """
     items = _items(benchmark, item_id, item_text)
-    limits = threshold, overlap, part_overlap
+    limits = overlap, part_overlap
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    out = _search(plain, *_indexes(items, answer_share, ngram, threshold), *limits)
+    out = _search(plain, *_indexes(items, answer_share, ngram, threshold, overlap), *limits)
     best = out.groupBy("id", "item").agg(F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", (-F.col("first_word")).alias("back"))).alias("b"))
     return best.select(F.col("id").alias(id_column), F.col("item").alias(item_id), F.round("b.score", 6).alias("score"), F.round("b.overlap", 6).alias("overlap"), F.round("b.question_overlap", 6).alias("question_overlap"), F.round("b.answer_overlap", 6).alias("answer_overlap"), (-F.col("b.back")).alias("first_word"))
 
@@ -176,17 +192,17 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _indexes(items: DataFrame, answer_share: float, ngram: int, threshold: float) -> tuple[list[Broadcast], int]:
+def _indexes(items: DataFrame, answer_share: float, ngram: int, threshold: float, overlap: float) -> tuple[list[Broadcast], int]:
     """The indexes of all items, broadcast, and the longest item's number of words."""
     of_all, shared = Statistics(items), []
     shards = max(1, -(-of_all.count // ITEMS))
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).orderBy("item", "text").toPandas()
-        shared.append(items.sparkSession.sparkContext.broadcast(Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram, threshold, of_all)))
+        shared.append(items.sparkSession.sparkContext.broadcast(Index(rows["item"].tolist(), rows["text"].tolist(), answer_share, ngram, threshold, overlap, of_all)))
     return shared, of_all.longest
 
 
-def _search(docs: DataFrame, shared: list[Broadcast], longest: int, threshold: float, overlap: float, part_overlap: float) -> DataFrame:
+def _search(docs: DataFrame, shared: list[Broadcast], longest: int, overlap: float, part_overlap: float) -> DataFrame:
     """One pass over the texts: each piece is split into words once and searched in every index."""
     names = ["id", "item", "score", "overlap", "question_overlap", "answer_overlap", "first_word"]
 
@@ -197,7 +213,7 @@ def _search(docs: DataFrame, shared: list[Broadcast], longest: int, threshold: f
             for part, data, offsets in pieces(batch, "text"):
                 starts, _, hashes = words(data, offsets)
                 at = word_bounds(starts, offsets)
-                rows = [row for ix, table in indexes for row in _found(ix, table, hashes, at, stride, threshold, overlap, part_overlap)]
+                rows = [row for ix, table in indexes for row in _found(ix, table, hashes, at, stride, overlap, part_overlap)]
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -206,7 +222,7 @@ def _search(docs: DataFrame, shared: list[Broadcast], longest: int, threshold: f
     return docs.mapInArrow(run, "id long, item long, score double, overlap double, question_overlap double, answer_overlap double, first_word long")
 
 
-def _found(ix: Index, table: _Lookup, hashes: np.ndarray, at: np.ndarray, stride: int, threshold: float, overlap: float, part_overlap: float) -> Iterator[tuple]:
+def _found(ix: Index, table: _Lookup, hashes: np.ndarray, at: np.ndarray, stride: int, overlap: float, part_overlap: float) -> Iterator[tuple]:
     """(text, item, score, overlaps, first word) of the leaked items of one index in each window of the texts."""
     term = table.find(hashes)
     known = np.flatnonzero(term >= 0)
@@ -218,13 +234,13 @@ def _found(ix: Index, table: _Lookup, hashes: np.ndarray, at: np.ndarray, stride
     # a window is two tiles; its terms count once
     key = np.unique((tiles[text] + (known - at[text]) // stride) << 24 | term[known])
     window = np.unique(np.concatenate([key, key[~np.isin(key >> 24, tiles)] - (1 << 24)]))
-    for w in ix.reachable(window >> 24, window & 0xFFFFFF, threshold).tolist():
+    for w in ix.reachable(window >> 24, window & 0xFFFFFF).tolist():
         doc = int(np.searchsorted(tiles, w, "right")) - 1
         tile_no = w - int(tiles[doc])
         lo = int(at[doc]) + tile_no * stride
         hi = min(lo + 2 * stride, int(at[doc + 1]))
         terms = np.unique(term[lo:hi])
-        for item, score in ix.search(terms[terms >= 0], threshold):
+        for item, score in ix.search(terms[terms >= 0]):
             there = shingle_hashes(hashes[lo:hi], ix.sizes[item])
             q, a = (int(np.isin(x[item], there).sum()) for x in (ix.question, ix.answer))
             nq, na = len(ix.question[item]), len(ix.answer[item])
@@ -257,7 +273,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
     Rows are judged alone, in one pass without a shuffle: those that share an id with a leaked row stay, and rows without an
     id are judged like others. Null and empty texts stay.
     """
-    shared, longest = _indexes(_items(benchmark, item_id, item_text), answer_share, ngram, threshold)
+    shared, longest = _indexes(_items(benchmark, item_id, item_text), answer_share, ngram, threshold, overlap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stride = max(longest, 32)
@@ -267,7 +283,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
                 starts, _, hashes = words(data, offsets)
                 at, clean = word_bounds(starts, offsets), np.ones(part.num_rows, bool)
                 for ix, table in indexes:
-                    for row in _found(ix, table, hashes, at, stride, threshold, overlap, part_overlap):
+                    for row in _found(ix, table, hashes, at, stride, overlap, part_overlap):
                         clean[row[0]] = False
                 yield part.filter(pa.array(clean))
 
