@@ -32,13 +32,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
     groups = ngram_jaccard(keyed.select("_key", "text"), id_column="_key", ngram=5, percent=80).groupBy("_key").agg(F.min("component_id").alias("_group"), F.count("*").alias("_times"))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_key").alias("c"))
-    ids = keyed.select("doc_id", "_key").distinct().join(groups, "_key")
-    first = kept(ids.groupBy("_group").agg(F.min(F.struct(place.alias("p"), "_times")).alias("f")).select("f.p.c", "f._times").withColumnRenamed("c", "_key"))
-    single = keyed.join(first.where("_times = 1"), "_key", "left_semi").select(COLUMNS)
-    if not first.where("_times > 1").limit(1).count():
+    ids = kept(keyed.select("doc_id", "_key").distinct().join(groups, "_key"))
+    first = kept(ids.groupBy("_group").agg(F.min(F.struct(place.alias("p"), "_times")).alias("f")).select("_group", F.col("f.p.c").alias("_first"), "f._times"))
+    # the rows that go are fewer than those that stay, so they are what texts are joined with
+    gone = ids.join(first.select("_group", "_first"), "_group").where("_key <> _first").select("_key")
+    repeated = first.where("_times > 1").select(F.col("_first").alias("_key"))
+    single = keyed.join(gone.union(repeated), "_key", "left_anti").select(COLUMNS)
+    if not repeated.limit(1).count():
         return single
-    repeated = keyed.join(first.where("_times > 1"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("r"))
-    return single.union(repeated.select("r.*"))
+    return single.union(keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
