@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def kept(frame: DataFrame) -> DataFrame:
-    """The frame, written under spark.checkpoint.dir (a local folder where that is unset) and read from there."""
+    """The frame, written under spark.checkpoint.dir and read from there; where that is unset, a local folder in local mode and an error on a cluster."""
     spark = frame.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='acervo-')}/acervo-{uuid.uuid4().hex}"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith(("local[", "local*")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="acervo-")
+    path = f"{top}/acervo-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -22,32 +22,40 @@ def project_edges(projects: DataFrame) -> DataFrame:
     return projects.select(F.explode(edges).alias("e")).select("e.*")
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree, centrality): ends of edges by node, and their share of the largest degree."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    ends = kept(_ends(edges))
     return ends.crossJoin(F.broadcast(ends.agg(F.max("degree").alias("_top")))).select("node", "degree", F.round(F.col("degree") / F.col("_top"), 6).alias("centrality"))
 
 
 def metrics(edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges and mean degree."""
-    nodes = degrees(edges).agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 2).alias("mean_degree"))
-    return nodes.crossJoin(edges.agg(F.count("*").alias("edges")))
+    """One row: nodes, edges and mean degree; each edge has two ends."""
+    return _ends(edges).agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 2).alias("mean_degree"), F.coalesce((F.sum("degree") / 2).cast("long"), F.lit(0).cast("long")).alias("edges"))
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """(src_index, dst_index, relation_index): dense numbers by name, counted within ranges and added up."""
+    """(src_index, dst_index, relation_index): dense numbers by name. The edges are written once and read for names and links."""
+    edges = kept(edges)
     number = _dense(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct())
-    kind = edges.select("relation").distinct().withColumn("relation_index", F.row_number().over(Window.orderBy("relation")).cast("long") - 1)
+    kind = _dense(edges.select(F.col("relation").alias("name")).distinct()).select(F.col("name").alias("relation"), F.col("index").alias("relation_index"))
     out = edges.join(number.select(F.col("name").alias("src"), F.col("index").alias("src_index")), "src").join(number.select(F.col("name").alias("dst"), F.col("index").alias("dst_index")), "dst")
-    return out.join(F.broadcast(kind), "relation").select("src_index", "dst_index", "relation_index")
+    return out.join(kind, "relation").select("src_index", "dst_index", "relation_index")
 
 
 def _dense(names: DataFrame) -> DataFrame:
-    """index from 0 by name: prefixes are counted first, so no partition holds more than one prefix's names."""
-    split = names.withColumn("_p", F.substring(F.col("name"), 1, 8))
-    before = split.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count"))
-    inside = split.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("name")))
-    return inside.join(before, "_p").select("name", (F.col("_b") + F.col("_i") - 1).cast("long").alias("index"))
+    """(name, index from 0 by name) of distinct names: a place within a range of names, behind the names of the ranges before.
+
+    Ranges follow samples of the names, so common prefixes don't matter; only one row a range meets in the running sum.
+    """
+    placed = kept(names.select("name").repartitionByRange("name").sortWithinPartitions("name").withColumn("_m", F.monotonically_increasing_id()))
+    placed = placed.select("name", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(2**33 - 1).alias("_i"))
+    ranges = placed.groupBy("_p").count()
+    before = ranges.select("_p", (F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")).alias("_b"))
+    return placed.join(F.broadcast(before), "_p").select("name", (F.col("_b") + F.col("_i")).cast("long").alias("index"))
 
 
 def merge(old_nodes: DataFrame, old_edges: DataFrame, nodes: DataFrame, edges: DataFrame, renames: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -24,20 +24,26 @@ def audit_projects(rows: DataFrame, as_of_year: int, verdict_free: tuple[str, ..
     Year and state are checked for well-formed keys only. A row without a CRITICAL alert is clean.
     """
     key = F.coalesce(F.col("clave"), F.lit(""))
-    bad_key = ~key.rlike(AUDIT_KEY) | is_mock_key(key)
-    year, number = F.coalesce(F.col("year").cast("string"), F.lit("")), F.expr("try_cast(year AS int)")
     known = F.upper(F.trim("state")).isin(*STATES) | F.lower(F.trim("state")).isin(*[x.lower() for x in STATES.values()])
     status = F.lower(F.coalesce("status", F.lit("")))
+    facts = F.struct(
+        F.substring(key, 5, 4).alias("key_year"), (~key.rlike(AUDIT_KEY) | is_mock_key(key)).alias("bad"), F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"),
+        F.expr("try_cast(year AS int)").alias("number"), F.coalesce(known, F.lit(False)).alias("known"), F.array_max(F.array(*[status.contains(x) for x in verdict_free])).alias("open"),
+        F.coalesce(F.exists("files_downloaded", lambda f: f.contains("estudio")), F.lit(False)).alias("study"),
+    )
+    # a generator's row is computed once, however many checks and filters read it
+    checked = rows.withColumn("_x", F.explode(F.array(facts)))
+    x = lambda c: F.col(f"_x.{c}")
     checks = [
         *[_alert(_blank(c), c, "required") for c in ("clave", "project_name", "status")],
-        _alert(bad_key, "clave", "format"),
-        _alert(~bad_key & ~year.contains(F.substring(key, 5, 4)), "year", "mismatch"),
-        _alert(~bad_key & number.isNull(), "year", "not a number"),
-        _alert(~bad_key & ~number.between(1990, as_of_year + 1), "year", "range"),
-        _alert(~bad_key & ~F.coalesce(known, F.lit(False)), "state", "unknown"),
-        _alert(~bad_key & F.array_max(F.array(*[status.contains(x) for x in verdict_free])) & ~F.coalesce(F.exists("files_downloaded", lambda f: f.contains("estudio")), F.lit(False)), "files_downloaded", "no study", "WARNING"),
+        _alert(x("bad"), "clave", "format"),
+        _alert(~x("bad") & ~F.contains(x("year"), x("key_year")), "year", "mismatch"),
+        _alert(~x("bad") & x("number").isNull(), "year", "not a number"),
+        _alert(~x("bad") & ~x("number").between(1990, as_of_year + 1), "year", "range"),
+        _alert(~x("bad") & ~x("known"), "state", "unknown"),
+        _alert(~x("bad") & x("open") & ~x("study"), "files_downloaded", "no study", "WARNING"),
     ]
-    return rows.withColumn("alerts", F.array_compact(F.array(*checks)))
+    return checked.withColumn("alerts", F.array_compact(F.array(*checks))).drop("_x")
 
 
 def audit_evaluations(rows: DataFrame, verdicts: tuple[str, ...] = VERDICTS) -> DataFrame:
