@@ -50,7 +50,7 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in runs of rows of about `most` bytes, each with its bytes and offsets: bounds the memory of what follows."""
     data, offsets = text_arrays(batch.column(text))
     lo = 0
@@ -73,10 +73,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(first)
     if not len(starts):
         return starts, starts, np.zeros(0, U64)
-    place = np.arange(n, dtype=np.int32) - np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
+    place = np.arange(n, dtype=np.int32)
+    head = np.where(first, place, np.int32(0))
+    place -= np.maximum.accumulate(head, out=head)
+    del head
     lengths = np.add.reduceat(inside, starts, dtype=np.int64)
     place[~inside] = 0
-    codes = WORD_CODES[data] * powers(int(place.max()) + 1)[place]
+    codes = WORD_CODES[data]
+    codes *= powers(int(place.max()) + 1)[place]
     return starts, starts + lengths, mix(np.add.reduceat(codes, starts, dtype=U64) + lengths.astype(U64))
 
 
