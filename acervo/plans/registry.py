@@ -321,3 +321,36 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT truth, predicted, count(*)::BIGINT AS n FROM (SELECT toxic::VARCHAR AS truth, CASE WHEN contains(text, 'idiot') THEN '1' ELSE '0' END AS predicted FROM labels JOIN documents USING (doc_id)) GROUP BY 1, 2")
 def confusion(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.confusion(_predictions(spark, d).where("field = 'toxic'"))
+
+
+_FOLD = "trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_MATCHED = f"""pairs AS (SELECT p_partkey AS item, 'name' AS field, p_name AS truth, CASE p_partkey % 6 WHEN 0 THEN upper(replace(p_name, 'a', 'á')) WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || ' ñ' WHEN 3 THEN 'Desconocido' WHEN 4 THEN 'otro valor' END AS predicted FROM part
+  UNION ALL SELECT p_partkey, 'brand', p_brand, CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '-') ELSE p_type END FROM part),
+named AS (SELECT item, field, coalesce(truth, 'Desconocido') AS truth, coalesce(predicted, 'Desconocido') AS predicted FROM pairs),
+fold AS (SELECT *, {_FOLD.format('truth')} AS x, {_FOLD.format('predicted')} AS y FROM named),
+shared AS (SELECT *, len(list_intersect(string_split(x, ' '), string_split(y, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) AS j FROM fold),
+matched AS (SELECT *, CASE WHEN x = y THEN 1.0::DOUBLE WHEN x = '' OR y = '' THEN 0 WHEN contains(x, y) OR contains(y, x) THEN 0.85 WHEN j >= 0.5 THEN j ELSE 0 END AS score FROM shared),
+counts AS (SELECT field, count(*) AS n, count(*) FILTER (x = y) AS exact, count(*) FILTER (score >= 0.5) AS tp, count(*) FILTER (score < 0.5 AND predicted NOT IN ('', 'Desconocido')) AS fp, count(*) FILTER (score < 0.5 AND truth NOT IN ('', 'Desconocido')) AS fn FROM matched GROUP BY 1),
+rates AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 1.0)::DOUBLE AS p, coalesce(tp / nullif(tp + fn, 0), 1.0)::DOUBLE AS r FROM counts),
+fields AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0)::DOUBLE AS f FROM rates)"""
+
+
+def _part_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Names and brands of parts beside values that differ by accents, case, order or words, or are absent."""
+    k, name, word = F.col("p_partkey"), F.col("p_name"), lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    guess = F.when(k % 6 == 0, F.upper(F.replace(name, F.lit("a"), F.lit("á")))).when(k % 6 == 1, word(1)).when(k % 6 == 2, F.concat(word(2), F.lit(" "), word(1), F.lit(" ñ"))).when(k % 6 == 3, "Desconocido").when(k % 6 == 4, "otro valor")
+    brand = F.when(k % 2 == 0, F.replace("p_brand", F.lit("#"), F.lit("-"))).otherwise(F.col("p_type"))
+    both = [F.struct(k.alias("item"), F.lit(f).alias("field"), t.alias("truth"), p.alias("predicted")) for f, t, p in (("name", name, guess), ("brand", F.col("p_brand"), brand))]
+    return table(spark, d, "part").select(F.explode(F.array(*both)).alias("p")).select("p.*")
+
+
+@query(f"WITH {_MATCHED} SELECT field, tp, fp, fn, round(100 * exact / n, 2)::DOUBLE AS exact_pct, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1 FROM fields")
+def field_scores(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.field_scores(_part_pairs(spark, d))
+
+
+@query(f"""WITH {_MATCHED}, items AS (SELECT avg(s) AS s, count(*) AS n FROM (SELECT avg(CASE WHEN score >= 0.5 THEN score ELSE 0 END) AS s FROM matched GROUP BY item)),
+micro AS (SELECT round(avg(p), 4) AS macro_precision, round(avg(r), 4) AS macro_recall, round(avg(f), 4) AS macro_f1, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0), 4)::DOUBLE AS micro_precision, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0), 4)::DOUBLE AS micro_recall FROM fields)
+SELECT n AS items, round(s, 4) AS item_score, micro.*, round(coalesce(2 * micro_precision * micro_recall / nullif(micro_precision + micro_recall, 0), 0), 4)::DOUBLE AS micro_f1 FROM items, micro""")
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.evaluation_summary(_part_pairs(spark, d))
