@@ -44,3 +44,8 @@ def asof_last(points: DataFrame, gaps: DataFrame, vessel: str, n: int = 12, leas
     numbered = recent.where("_o = 1").select(vessel, F.col("ts").alias("p_ts"), F.col("value").alias("p_value"), (F.col("_seen") + 1).alias("_k"))
     wanted = recent.where("_o = 0").select(vessel, "gap_id", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_seen") - n + 1), F.greatest(F.lit(1), F.col("_seen")))).alias("_k"), "_seen").where(F.col("_seen") >= least)
     return wanted.join(numbered, [vessel, "_k"]).groupBy("gap_id").agg(F.count("*").alias("points_before"), F.round(F.avg("p_value"), 6).alias("mean_value"), F.max("p_ts").alias("last_ts"))
+
+
+def project_details(projects: DataFrame, sponsors: DataFrame, evaluations: DataFrame, sponsor_key: str, key: str) -> DataFrame:
+    """All projects with their sponsor and evaluation where there are such; null keys match none. Sponsors and evaluations have one row a key."""
+    return projects.join(sponsors, sponsor_key, "left").join(evaluations, key, "left")

@@ -34,8 +34,9 @@ def tag_lines(docs: DataFrame, key: str, text: str, patterns: dict[str, str]) ->
 
 
 def preview(text: Column, words: int = 500) -> Column:
-    parts = F.split(text, r"\s+")
-    return F.when(F.size(parts) > words, F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit("…"))).otherwise(text)
+    """The first words with single blanks between them, and an ellipsis if there are more; null stays null."""
+    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.concat(F.array_join(F.slice(parts, 1, words), " "), F.when(F.size(parts) > words, "…").otherwise(""))
 
 
 def heuristic_score(text: Column, yes: tuple[str, ...] = YES, no: tuple[str, ...] = NO) -> Column:

@@ -354,3 +354,15 @@ micro AS (SELECT round(avg(p), 4) AS macro_precision, round(avg(r), 4) AS macro_
 SELECT n AS items, round(s, 4) AS item_score, micro.*, round(coalesce(2 * micro_precision * micro_recall / nullif(micro_precision + micro_recall, 0), 0), 4)::DOUBLE AS micro_f1 FROM items, micro""")
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.evaluation_summary(_part_pairs(spark, d))
+
+
+@query(f"WITH {EVALUATIONS_SQL} SELECT o.o_orderkey, o_custkey, c_name, veredicto, score FROM orders o LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN evaluations e ON o.o_orderkey = e.o_orderkey AND veredicto <> 'PENDIENTE'")
+def project_details(spark: SparkSession, d: str) -> DataFrame:
+    sponsors = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    judged = evaluations(spark, d).where("veredicto <> 'PENDIENTE'").select("o_orderkey", "veredicto", "score")
+    return joins.project_details(table(spark, d, "orders").select("o_orderkey", "o_custkey"), sponsors, judged, "o_custkey", "o_orderkey")
+
+
+@query("SELECT doc_id, array_to_string(w[1:100], ' ') || CASE WHEN len(w) > 100 THEN '…' ELSE '' END AS preview FROM (SELECT doc_id, [x FOR x IN string_split_regex(text, '[ \\t\\n\\f\\r\\v]+') IF x <> ''] AS w FROM documents)")
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.preview(F.col("text"), 100).alias("preview"))
