@@ -136,7 +136,17 @@ def kept(frame: DataFrame) -> DataFrame:
     """The frame, written to the shared folder and read from there: cuts its lineage and survives lost executors."""
     path = shared_folder(frame.sparkSession)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out.kept_in = path
+    return out
+
+
+def drop(*frames: DataFrame | Grown) -> None:
+    """Removes kept tables from the shared folder. Nothing that is still to be computed may read them."""
+    for frame in frames:
+        spark, path = (frame.spark, frame.path) if isinstance(frame, Grown) else (frame.sparkSession, frame.kept_in)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 class Grown:
