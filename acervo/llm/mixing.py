@@ -1,8 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by exact token length. What a source's target leaves after whole repeats is filled by an even
-share of each length, and the last words by a bounded-knapsack dynamic program over the length counts. Which documents
-of a length are taken follows a seeded hash.
+Documents are counted by exact token length. What a source's target leaves after whole repeats is shared out over the lengths in
+proportion to their words, whole documents first by rounding down and then by largest remainders, until less than ROOM times
+the longest length is left; a bounded-knapsack dynamic program over the length counts fits that rest. Which documents of a
+length are taken follows a seeded hash.
 """
 
 from __future__ import annotations
@@ -16,33 +17,34 @@ from pyspark.sql.window import Window
 
 from acervo.llm._text import kept
 
-#: The dynamic program's budget in words; larger rests are first filled by single documents, longest first.
-BUDGET = 1 << 16
-#: Hash buckets that deal a large group of equal length out to several tasks.
-DEALT = 64
+#: Longest lengths that the rest left to the dynamic program stays below; the same at every size of the input.
+ROOM = 8
+#: Bits of the hash buckets that deal a large group of equal length out to several tasks.
+DEALT_BITS = 6
 
 
 def fit_budget(lengths: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their sum comes nearest to budget without passing it.
 
-    lengths: {length: count}. A proportional share is taken first; single documents, longest first, bring the rest
-    below BUDGET; the dynamic program over reachable sums does the last step exactly.
+    lengths: {length: count}. Each length takes its share of the budget, rounded down to documents; while the rest holds ROOM times
+    the longest length, the lengths with the largest remainders (then the longest) take one more each; the dynamic program
+    over reachable sums fits what is left exactly, so the sum is the nearest that those first takes allow.
     """
+    lengths = {n: c for n, c in lengths.items() if n > 0}
     total = sum(n * c for n, c in lengths.items())
     if budget <= 0 or not total:
         return {}
     if budget >= total:
         return dict(lengths)
-    take = {n: c * budget // total for n, c in lengths.items() if n > 0}
+    take = {n: c * budget // total for n, c in lengths.items()}
     rest = budget - sum(n * c for n, c in take.items())
-    for n in sorted(take, reverse=True):
-        if rest > BUDGET and (more := min(lengths[n] - take[n], (rest - BUDGET) // n, 1)) > 0:
-            take[n] += more
-            rest -= more * n
-    for n in sorted(take, reverse=True):
-        if rest > BUDGET and (more := min(lengths[n] - take[n], (rest - BUDGET) // n)) > 0:
-            take[n] += more
-            rest -= more * n
+    longest = max(lengths)
+    for n in sorted(take, key=lambda n: (-(lengths[n] * budget % total), -n)):
+        if rest < ROOM * longest:
+            break
+        if take[n] < lengths[n]:
+            take[n] += 1
+            rest -= n
     limit = (1 << (rest + 1)) - 1
     sums, steps = 1, []
     for n in sorted(take, reverse=True):
@@ -88,10 +90,11 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     """One row for each row of docs: (id_column, size, source_size, target, taken).
 
     size counts the runs of bytes other than blanks (null text: 0). taken is the number of words the mix takes from the
-    row: whole repeats of its source, plus one more if it was chosen; never over `most` times its size. Reruns agree.
-    Null sources are one source. Repeated rows and null ids count as rows of their own. An empty table gives an empty one.
+    row: whole repeats of its source, plus one more if it was chosen; never over `most` times its size. Documents of a length
+    are chosen by a hash of seed, id and text; reruns agree. Null sources are one source. Repeated rows and null ids
+    count as rows of their own. An empty table gives an empty one.
     """
-    rows = kept(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")).withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("order", F.xxhash64(F.lit(seed), "id")).withColumn("part", F.shiftrightunsigned("order", 58)))
+    rows = kept(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("order")).withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("part", F.shiftrightunsigned("order", 64 - DEALT_BITS)))
     cells = kept(rows.groupBy("key", "source", "size", "part").agg(F.count("*").alias("n")))
     sources = cells.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = kept(targets(sources, weights, share, most).withColumn("repeats", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")).withColumn("rest", F.round(F.col("target") - F.col("repeats") * F.col("source_size")).cast("long")))
