@@ -27,7 +27,7 @@ from acervo.llm._text import U64, kept, mix, pieces, powers, signed, word_bounds
 MIN_WORDS = 1
 #: Sentences of more words are cut into pieces; a piece begins at the least word pair among so many on either side.
 LONG, AROUND = 16, 3
-#: Parts of fewer words have no digest and count as repeated between two repeated ones.
+#: Parts of fewer words are digested together with the part before them: alone they would be repeated everywhere.
 SHORT = 3
 #: Runs that hold parts of lines are removed from so many words on.
 PASSAGE = 12
@@ -57,7 +57,8 @@ class Atoms:
         sentence = np.cumsum(np.concatenate([[False], stop[:-1]]))
         words_in = np.flatnonzero(np.bincount(sentence)[sentence] > LONG)
         stop[words_in] |= _cuts(hashes[words_in], sentence[words_in])
-        self.parts = _runs_of(hashes, stop, U64(0x8EBC6AF09C88C6E3))
+        first, count, digest = _runs_of(hashes, stop, U64(0x8EBC6AF09C88C6E3))
+        self.parts = first, count, _with_neighbours(count, self.text[first], digest)
 
 
 def _runs_of(hashes: np.ndarray, stop: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +72,18 @@ def _runs_of(hashes: np.ndarray, stop: np.ndarray, salt: np.uint64) -> tuple[np.
     return first, count, np.stack([one, two], axis=1)
 
 
+def _with_neighbours(count: np.ndarray, text: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Digests of parts, those of short ones over the part before too (at a text's beginning, over the one after)."""
+    short = np.flatnonzero(count < SHORT)
+    before = np.maximum(short - 1, 0)
+    after = np.minimum(short + 1, len(count) - 1)
+    other = np.where((short > 0) & (text[before] == text[short]), before, after)
+    side = np.where(other < short, U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))[:, None]
+    out = digest.copy()
+    out[short] = np.where((text[other] == text[short])[:, None], mix(digest[short] * U64(5) + digest[other] ^ side), digest[short])
+    return out
+
+
 def _cuts(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     """Which words end a piece: the last of each sentence, and those before a least pair."""
     pair = mix(hashes * U64(3))
@@ -98,9 +111,8 @@ def _digests(docs: DataFrame, whole_lines: bool, filter_: object = None) -> Data
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
                 atoms = Atoms(data, offsets, whole_lines)
-                first, count, parts = atoms.parts
-                text = atoms.text[np.concatenate([atoms.units[0], first[count >= SHORT]])]
-                digest = np.concatenate([atoms.units[2], parts[count >= SHORT]])
+                text = atoms.text[np.concatenate([atoms.units[0], atoms.parts[0]])]
+                digest = np.concatenate([atoms.units[2], atoms.parts[2]])
                 if filter_ is not None:
                     good = _bloom.passes(filter_.value, digest[:, 0])
                     text, digest = text[good], digest[good]
@@ -135,7 +147,8 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     repeated units that hold `min_words` words or more are removed, with the blanks up to the next word; by default each
     repeated unit is. Repeated parts of lines are removed where they and repeated units next to them make a run of
     `min_words` words, and PASSAGE at least; the few words of a repeated passage before its first cut and after its last
-    one stay.
+    one stay. A part of fewer than SHORT words counts as repeated only where it stood before after the same part (at the beginning
+    of a text, before the same part), so a short sentence of its own between two repeated ones stays.
 
     Rows rank by id, those with a null id last, then by the hash of their text. A null text stays null with no units; a text
     that is wholly repeated becomes empty. Rows that repeat both id and text count as one and don't remove each other's
@@ -164,7 +177,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     u, p, w = slice(uat[i], uat[i + 1]), slice(pat[i], pat[i + 1]), slice(atoms.at[i], atoms.at[i + 1])
                     spans: list[tuple[int, int]] = []
                     removed = 0
-                    again, part_again = _repeats(udigest[u], found_[i]), _repeats(pdigest[p], found_[i]) & (pcount[p] >= SHORT)
+                    again, part_again = _repeats(udigest[u], found_[i]), _repeats(pdigest[p], found_[i])
                     if again.any() or part_again.any():
                         gone = _gone(w.stop - w.start, (ufirst[u] - w.start, ucount[u], again), (pfirst[p] - w.start, pcount[p], part_again), min_words)
                         removed = int(np.logical_or.reduceat(gone, ufirst[u] - w.start).sum())
@@ -212,11 +225,8 @@ def _gone(size: int, units: tuple[np.ndarray, np.ndarray, np.ndarray], parts: tu
     gone = np.zeros(size, bool)
     for a, b in _edges(whole):
         gone[a:b] = b - a >= min_words
-    first, count, again = parts
-    if again.any():
+    if parts[2].any():
         both = whole | _spread(size, parts)
-        for a, b in _edges(_spread(size, (first, count, count < SHORT)) & ~both):  # short parts follow those around them
-            both[a:b] = 0 < a and b < size and both[a - 1] and both[b]
         for a, b in _edges(both):
             if b - a >= max(min_words, PASSAGE):
                 gone[a:b] = True

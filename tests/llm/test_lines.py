@@ -76,3 +76,55 @@ def test_columns_of_the_caller_stay(spark):
     assert out.columns == [c for c in names if c != "dedup"] + ["dedup"]
     got = {r.doc_id: r for r in out.collect()}
     assert got[2].text == "more" and [got[2][c] for c in ("_id", "_found", "id", "t", "found", "row", "h1", "first", "a.b")] == [0, 1, 2, 3, 4, 5, 6, 7, 9]
+
+
+def test_short_sentence_of_its_own_between_repeated_ones_stays(spark):
+    one, two = "the quick brown fox jumps over nine lazy dogs.", "and eight more of them sleep beside the river."
+    docs = [(1, f"{one} Yes. {two}"), (2, f"{one} Never again. {two}"), (3, f"{one} Yes. {two}"), (4, f"Oh. {one} Yes. {two}")]
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert out[1].text == docs[0][1] and "Never again." in out[2].text
+    assert out[3].text == ""
+    assert out[4].text.split() == ["Oh."]
+
+
+def test_no_word_goes_that_stands_nowhere_earlier(spark):
+    """Spans, digests and texts of random documents of shared and own sentences, short ones among them."""
+    import hashlib
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + r.choice(".!?")
+    pool = [sentence(n) for n in (1, 1, 2, 2, 4, 7, 9, 12, 20, 33)]
+    docs = []
+    for i in range(60):
+        parts = [r.choice(pool) if r.random() < 0.7 else sentence(r.choice([1, 1, 2, 3, 9])) for _ in range(r.randint(1, 12))]
+        docs.append((i, "".join(p + r.choice([" ", " ", "\n"]) for p in parts)))
+    out = {x.doc_id: x for x in line_dedup(spark.createDataFrame(docs, SCHEMA), unit="line").collect()}
+    pairs, lines, gone_words, short_gone = set(), set(), 0, 0
+    for i, text in docs:  # ids are ranks
+        raw, row = text.encode(), out[i]
+        kept_bytes, at = b"", 0
+        for s in row.dedup.spans:
+            assert at <= s.start < s.end <= len(raw)
+            kept_bytes, at = kept_bytes + raw[at : s.start], s.end
+        kept_bytes += raw[at:]
+        assert row.text.encode() == kept_bytes and row.dedup.kept_sha256 == hashlib.sha256(kept_bytes).hexdigest()
+        own, place, before = [], 0, None
+        for line in text.split("\n"):
+            key = " ".join(line.split())
+            words = key.split()
+            for w in words:
+                place = text.index(w, place)
+                own.append((w, place, key))
+                place += len(w)
+        for k, (w, begin, key) in enumerate(own):
+            if any(s.start <= begin < s.end for s in row.dedup.spans):
+                gone_words += 1
+                short_gone += w[-1] in ".!?" and (k == 0 or own[k - 1][0][-1] in ".!?")
+                seen_line = key in lines or sum(x[2] == key for x in own[:k]) > 0
+                near = {(own[j][0], own[j + 1][0]) for j in (k - 1, k) if 0 <= j < len(own) - 1}
+                earlier = pairs | {(a[0], b[0]) for a, b in zip(own[:k], own[1:k], strict=False)}
+                assert seen_line or near & earlier, (i, w)
+        lines |= {x[2] for x in own}
+        pairs |= {(a[0], b[0]) for a, b in zip(own, own[1:], strict=False)}
+    assert gone_words > 300 and short_gone > 5
