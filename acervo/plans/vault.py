@@ -358,7 +358,7 @@ def note_graph(spark: SparkSession, d: str) -> DataFrame:
     return graph.note_edges(_notes(spark, d).select("clave", F.explode(targets(F.col("content"))).alias("target")), "clave", "target")
 
 
-_FUSED = "SELECT doc_id, row_number() OVER (ORDER BY {} DESC, doc_id) AS r FROM (SELECT doc_id, {} AS {} FROM documents) QUALIFY r <= 500"
+_FUSED = "SELECT doc_id, row_number() OVER (ORDER BY {} DESC, doc_id) AS r FROM (SELECT doc_id, {} AS {} FROM documents)"
 
 
 @query(f"WITH v AS ({_FUSED.format('a', 'doc_id * 7 % 101', 'a')}), l AS ({_FUSED.format('b', 'doc_id * 11 % 103', 'b')}) SELECT doc_id, round(coalesce(1.0::DOUBLE / (60 + v.r), 0) + coalesce(1.0::DOUBLE / (60 + l.r), 0), 5)::DOUBLE AS score FROM v FULL JOIN l USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -18,21 +18,25 @@ def stream_documents(spark: SparkSession, path: str, glob: str = "*.md") -> Data
     return rows.where(~F.col("name").rlike(r"(\.tmp|\.part|\.crdownload)$")).withColumn("sha", F.sha2("content", 256))
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str = "sha") -> StreamingQuery:
-    """Runs `transform` over what is new and appends rows whose key the target lacks; all that waits is taken at once.
+def dedup_stream(stream: DataFrame, key: str, time: str, delay: str = "7 days") -> DataFrame:
+    """The first row of each key; a key that comes again within `delay` of event time is dropped, over restarts too.
 
-    A batch is written to its own folder, target/batch=N, so a repeated batch overwrites itself.
+    State holds the keys of the last `delay` before the watermark and no more. Rows without a time are dropped.
+    """
+    return stream.where(F.col(time).isNotNull()).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def ingest(stream: DataFrame, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str = "sha", time: str = "mtime", delay: str = "7 days") -> StreamingQuery:
+    """Runs `transform` over rows whose key is new and appends them; all that waits is taken at once.
+
+    Keys that come again within `delay` of event time are dropped by the stream's own state, so no earlier batch is read. A
+    batch is written to its own folder, target/batch=N, so a repeated batch overwrites itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        new = transform(batch).dropDuplicates([key])
-        spark = batch.sparkSession
-        if number > 0:
-            old = spark.read.parquet(*[f"{target}/batch={i}" for i in range(number)])
-            new = new.join(old.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return dedup_stream(stream, key, time, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_events(stream: DataFrame, path: str = "path", time: str = "mtime") -> DataFrame:
@@ -66,6 +70,27 @@ def _there(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def run_stages(first: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame], int]], folder: str) -> tuple[DataFrame, DataFrame]:
+    """Runs (name, function, pct) stages one after the other; gives the last result and the progress rows.
+
+    Each result is written to folder/NN_name and read as the next one's input. Progress has a row for each stage that
+    began: (place, stage, status done or failed, pct, n_rows). Rows are counted by an observation within the writing job, so no
+    table is read twice for it. A stage that fails ends the run: its row has no count and the pct of the stage before.
+    """
+    spark, rows, pct = first.sparkSession, [], 0
+    for place, (name, work, after) in enumerate(stages):
+        seen, path = Observation(), f"{folder}/{place:02d}_{name}"
+        try:
+            work(first).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        except PySparkException:
+            rows.append((place, name, "failed", pct, None))
+            break
+        pct = after
+        rows.append((place, name, "done", pct, seen.get["n"]))
+        first = spark.read.parquet(path)
+    return first, spark.createDataFrame(rows, "place int, stage string, status string, pct int, n_rows long")
+
+
 class Progress(StreamingQueryListener):
     """The last progress events of all streams: (status, query, batch, rows)."""
 
