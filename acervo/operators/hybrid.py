@@ -167,7 +167,8 @@ def _search(rows: DataFrame, block: Block, k: int, base: int, k1: float, b: floa
             for q in range(len(bounds) - 1):
                 at, lo, hi = np.flatnonzero(able[:, q]), bounds[q], bounds[q + 1]
                 for measure in (0, 1):
-                    ordered = np.sort(_placed(scores[at, q, measure], mine[at]))
+                    order = at[np.lexsort((mine[at, 1], mine[at, 0], -scores[at, q, measure]))]
+                    ordered = _placed(scores[order, q, measure], mine[order])
                     before[lo:hi, measure] += np.searchsorted(ordered, _placed(values[lo:hi, measure], keys[lo:hi]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys))), pa.array(before[:, 0]), pa.array(before[:, 1])], ["i", "v", "l"])
 
