@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acervo.functions.scratch import kept
+from acervo.operators.numbering import numbered
 
+# Types of nodes of the project graph in the order of their numbers, with the colours they are drawn in.
+NODE_COLORS = {
+    "proyecto": "#FFB000", "estado": "#27AE60", "tipo_mia": "#9B59B6", "año": "#3498DB", "sector": "#E67E22",
+    "promovente": "#E84393", "municipio": "#5DADE2",
+}
+#: Types whose nodes come from codes of a few characters, so that their number is bounded whatever the projects are.
+CODED = ("estado", "tipo_mia", "año", "sector")
 
-def project_edges(projects: DataFrame) -> DataFrame:
-    """(src, dst, relation) of valid projects (clave, state, municipality, sponsor, kind, key_year, sector)."""
+
+def project_edges(projects: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst, relation) of valid projects (clave, state, municipality, sponsor, kind, key_year, sector).
+
+    With columns to keep, these come first, then `place`, the edge's place among those of its project.
+    """
     town = F.when(F.trim("municipality") != "", F.concat(F.lit("muni_"), F.col("state"), F.lit("_"), F.upper("municipality")))
     state = F.concat(F.lit("state_"), F.col("state"))
     edge = lambda a, b, r: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("src"), b.alias("dst"), F.lit(r).alias("relation")))
@@ -19,9 +31,52 @@ def project_edges(projects: DataFrame) -> DataFrame:
         edge(key, F.concat(F.lit("prom_"), F.upper("sponsor")), "PROMOVIDO_POR"), edge(key, F.concat(F.lit("type_"), F.col("kind")), "ES_TIPO"),
         edge(key, F.concat(F.lit("year_"), F.col("key_year")), "DEL_AÑO"), edge(key, F.concat(F.lit("sector_"), F.col("sector")), "DEL_SECTOR"),
     ))
+    if keep:
+        return projects.select(*keep, F.posexplode(edges).alias("place", "e")).select(*keep, "place", "e.*")
     return projects.select(F.explode(edges).alias("e")).select("e.*")
 
 
+def project_nodes(projects: DataFrame, order: str) -> DataFrame:
+    """(id, type, label, year, project_name, verdict, seen, place) of valid projects, the columns of project_edges and state_name, kind_name,
+    project_name, verdict: each node once, as the first project by `order` (no two alike) names it. seen and place tell where."""
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    node = lambda i, kind, label, year=None, name=None, verdict=None: F.when(i.isNotNull() & (label.isNotNull()), F.struct(i.alias("id"), F.lit(kind).alias("type"), label.alias("label"), (F.lit(None) if year is None else year).cast("int").alias("year"), text(name).alias("project_name"), text(verdict).alias("verdict")))
+    key, year = F.col("clave"), F.col("key_year")
+    town = F.when(F.trim("municipality") != "", F.concat(F.lit("muni_"), F.col("state"), F.lit("_"), F.upper("municipality")))
+    nodes = F.array(
+        node(key, "proyecto", key, year, F.coalesce("project_name", F.concat(F.lit("Proyecto "), key)), F.col("verdict")),
+        node(F.concat(F.lit("state_"), F.col("state")), "estado", F.coalesce("state_name", "state")), node(town, "municipio", F.trim("municipality")),
+        node(F.concat(F.lit("prom_"), F.upper("sponsor")), "promovente", F.trim("sponsor")), node(F.concat(F.lit("type_"), F.col("kind")), "tipo_mia", F.coalesce("kind_name", "kind")),
+        node(F.concat(F.lit("year_"), year), "año", year.cast("string")), node(F.concat(F.lit("sector_"), F.col("sector")), "sector", F.concat(F.lit("Sector "), F.col("sector"))),
+    )
+    rows = projects.select(F.col(order).alias("seen"), F.posexplode(nodes).alias("place", "n")).where("n IS NOT NULL")
+    first = rows.groupBy("n.id").agg(F.min_by("n", F.struct("seen", "place")).alias("n"), F.min(F.struct("seen", "place")).alias("at"))
+    return first.select("n.*", "at.*")
+
+
+def encode(nodes: DataFrame, edges: DataFrame, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, links and relations of a graph by dense numbers in first-seen order, from project_nodes and project_edges with `order` kept.
+
+    (index, id, type, label, color, year, degree, community, project_name, verdict), (src_index, dst_index, relation_index) and
+    (relation_index, relation). Ends without a node give no link. Nodes that many links share come from codes and are broadcast;
+    their number is bounded. Other ends are joined by name.
+    """
+    edges = kept(edges)
+    types = F.create_map(*[F.lit(x) for i, t in enumerate(NODE_COLORS) for x in (t, i)])
+    colors = F.create_map(*[F.lit(x) for pair in NODE_COLORS.items() for x in pair])
+    counted = numbered(nodes, ["seen", "place"], "index").join(_ends(edges).withColumnRenamed("node", "id"), "id", "left")
+    out = kept(counted.select("index", "id", "type", "label", F.coalesce(F.try_element_at(colors, "type"), F.lit("#AAAAAA")).alias("color"), "year", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce(F.try_element_at(types, "type"), F.lit(0)).alias("community"), "project_name", "verdict"))
+    kinds = edges.groupBy("relation").agg(F.min(F.struct(order, "place")).alias("_at"))
+    kinds = kept(numbered(kinds.select("relation", "_at.*"), [order, "place"], "relation_index").select("relation_index", "relation"))
+    number = lambda end, where: out.where(where).select(F.col("id").alias(end), F.col("index").alias(f"{end}_index"))
+    coded = F.col("type").isin(*CODED)
+    rows = edges.join(number("src", F.lit(True)), "src").join(F.broadcast(number("dst", coded)), "dst", "left")
+    near = rows.where("dst_index IS NOT NULL")
+    far = rows.where("dst_index IS NULL").drop("dst_index").join(number("dst", ~coded), "dst")
+    links = near.select(*far.columns).unionByName(far).join(F.broadcast(kinds), "relation")
+    return out, links.select("src_index", "dst_index", "relation_index"), kinds
+
+
 def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 

@@ -114,15 +114,6 @@ def concat_pages(pages: DataFrame, doc: str, page: str, text: str, separator: st
     return pages.groupBy(doc).agg(F.count("*").alias("pages"), F.count_if(strip(F.coalesce(F.col(text), F.lit(""))) == "").alias("blank_pages"), F.concat(F.lit("# "), F.first(F.col(doc).cast("string")), F.lit("\n\n"), whole).alias("content"))
 
 
-def key_context(text: Column, key: Column) -> Column:
-    """struct<name, place> from the first table row with the key: its longest other cell, and the cell after that one."""
-    line = F.try_element_at(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.upper(x).contains(key) & x.contains("|")), F.lit(1))
-    cells = F.filter(F.transform(F.split(line, r"\|"), strip), lambda c: (F.length(c) >= 4) & ~F.upper(c).contains(key) & ~c.rlike(r"^\d+$"))
-    longest = F.array_max(F.transform(cells, lambda c, i: F.struct(F.length(c).alias("n"), (-i).alias("i"), c.alias("c"))))
-    following = F.try_element_at(cells, -longest["i"] + 2)
-    return F.struct(F.substring(longest["c"], 1, 200).alias("name"), F.substring(following, 1, 200).alias("place"))
-
-
 def labelled(text: Column, labels: dict[str, str]) -> Column:
     """struct of fields: what follows each label and a colon on its line, else the cell beside it in a two-cell table row."""
     row = lambda p: F.regexp_extract(text, rf"(?imu)^\s*\|\s*(?:{p})\s*\|\s*([^|\n]+?)\s*\|\s*$", 1)

@@ -89,8 +89,6 @@ def test_links_and_fields(spark):
     assert {r.k: r.t for r in sections.autolink(notes, "k", "t", known, "c").collect()} == {1: "ver [[21PU2025H0155]] y [[21PU2025H0155]] y 09PU2025H0001", 2: ""}
     t = "Promovente: Uno SA\n| Estado | Puebla |\nEstado: Otro"
     assert tuple(spark.createDataFrame([(t,)], "t string").select(sections.labelled(F.col("t"), {"promovente": "promovente", "estado": "estado", "sector": "sector"}).alias("s")).first().s) == ("Uno SA", "Puebla", None)
-    row = "| 12 | 21PU2025H0155 | Planta de gas | Puebla |"
-    assert tuple(spark.createDataFrame([(row,)], "t string").select(sections.key_context(F.col("t"), F.lit("21PU2025H0155")).alias("s")).first().s) == ("Planta de gas", "Puebla")
     pages = spark.createDataFrame([("d", 2, "dos"), ("d", 1, "uno"), ("d", 3, None)], "d string, p int, t string")
     assert tuple(sections.concat_pages(pages, "d", "p", "t").first()) == ("d", 3, 1, "# d\n\nuno\n\ndos\n\n")
     assert [tuple(r) for r in sections.relevance(spark.createDataFrame([(1, "# T\nGas y agua"), (2, "gas"), (3, None)], "k long, t string"), "k", "t", ["gas", "agua"]).collect()] == [(1, 2, "Gas y agua"), (2, 1, "gas")]
