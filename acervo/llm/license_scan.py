@@ -35,16 +35,42 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc-by4": ("Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."),
     "cc-by-sa4": ("Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."),
     "cc0": ("This work is dedicated to the public domain under CC0 1.0.",),
+    "mit-warranty": ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',),
+    "mit-liability": ("IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",),
+    "isc-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "0bsd-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",),
+    "isc-warranty": ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',),
+    "bsd-warranty": ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',),
+    "apache2-title": ("Apache License Version 2.0, January 2004",),
+    "mpl2-header": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "lgpl21-free": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "lgpl3-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "agpl3-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "zlib-warranty": ("This software is provided 'as-is', without any express or implied warranty.",),
+    "epl2-terms": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
 }
 #: Rules in order of precedence: the first whose identifiers stand next to each other takes them.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Apache-2.0", ("apache2-title",)),
     ("Apache-2.0", ("apache2-header", "apache2-comply", "apache2-copy")),
     ("Apache-2.0", ("apache2-header", "apache2-comply")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("MPL-2.0", ("mpl2-header",)),
+    ("Unlicense", ("unlicense",)),
+    ("Zlib", ("zlib-warranty",)),
+    ("EPL-2.0", ("epl2-terms",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl2-free",)),
     ("MIT", ("mit-grant",)),
@@ -56,6 +82,32 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("cc-by4",)),
     ("CC0-1.0", ("cc0",)),
 )
+#: Identifiers of licences as tags name them.
+TAGS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0",
+    "CC-BY-NC-SA-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0",
+    "OFL-1.1", "PostgreSQL", "PSF-2.0", "Unlicense", "WTFPL", "X11", "Zlib",
+)
+#: Names of licences in prose.
+NAMES = {
+    "MIT": ("the MIT License",), "ISC": ("the ISC License",), "Zlib": ("the zlib License",), "Unlicense": ("the Unlicense",),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"),
+    "BSD-2-Clause": ("the BSD 2-Clause License",), "BSD-3-Clause": ("the BSD 3-Clause License",),
+    "GPL-2.0": ("the GNU General Public License, version 2", "the GNU General Public License v2.0"),
+    "GPL-3.0": ("the GNU General Public License, version 3", "the GNU General Public License v3.0"),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": ("the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0"),
+    "AGPL-3.0": ("the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0"),
+    "MPL-2.0": ("the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0"), "EPL-2.0": ("the Eclipse Public License 2.0",),
+    "BSL-1.0": ("the Boost Software License 1.0", "the Boost Software License, Version 1.0"),
+    "CC-BY-4.0": ("CC BY 4.0",), "CC-BY-SA-4.0": ("CC BY-SA 4.0",), "CC-BY-NC-4.0": ("CC BY-NC 4.0",), "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",),
+}
+OPENINGS = ("Released under", "Licensed under", "Distributed under", "This project is licensed under", "This project is released under", "This software is licensed under", "This software is released under", "This work is licensed under", "This code is licensed under")
+_listed = {v.lower().rstrip(".") for x in SENTENCES.values() for v in x}
+SENTENCES |= {f"tag-{t}": (f"SPDX-License-Identifier: {t}", f"License: {t}") for t in TAGS}
+SENTENCES |= {f"named-{t}": tuple(v for n in names for o in OPENINGS if (v := f"{o} {n}").lower() not in _listed) for t, names in NAMES.items()}
+RULES += tuple((t, (f"tag-{t}",)) for t in TAGS) + tuple((t, (f"named-{t}",)) for t in NAMES)
 
 
 class _Text:
@@ -66,7 +118,9 @@ class _Text:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = _unmarked(data, offsets)
-        self.begin, ends, hashes = words(data, offsets)
+        bare = _bare(data, offsets)
+        self.begin, ends, hashes = words(bare, offsets)
+        ends = ends + np.append(bare != data, False)[ends]
         n = len(self.begin)
         self.text = np.searchsorted(offsets, self.begin, "right") - 1
         self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * powers(n), dtype=U64)])
@@ -105,18 +159,30 @@ def _unmarked(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(mark & (other[:-1] == other[at]), np.uint8(32), data)
 
 
-def _sentence_digests(sentences: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
-    """First hash of each known sentence up to its first stop, sorted, and its (identifier, words, hash of all) with most words first."""
-    found: dict[int, list[tuple[str, int, int]]] = {}
+def _bare(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes with a blank for the one stop that ends a word, so that sentences count alike with and without it."""
+    if not len(data):
+        return data
+    stop = np.isin(data, np.frombuffer(STOPS, np.uint8))
+    last = np.append(SPACE[data[1:]], True)
+    last[offsets[1:][offsets[1:] > 0] - 1] = True
+    inner = np.append(False, ~(stop | SPACE[data])[:-1])
+    inner[offsets[:-1][offsets[:-1] < len(data)]] = False
+    return np.where(stop & last & inner, np.uint8(32), data)
+
+
+def _sentence_digests(sentences: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, list[list[tuple[int, dict[int, str]]]]]:
+    """Hashes of the known sentences up to their first stops, sorted, and for each (words, {hash of all: identifier}) with most words first."""
+    found: dict[int, dict[int, dict[int, str]]] = {}
     for name, variants in sentences.items():
         for variant in variants:
             raw = np.frombuffer(variant.encode(), np.uint8)
             known = _Text(raw, np.array([0, len(raw)]))
             n = len(known.begin)
             whole = known.digests(np.array([0]), np.array([n]))
-            found.setdefault(int(known.digests(known.first[:1], known.end[:1])[0]), []).append((name, n, int(whole[0])))
+            found.setdefault(int(known.digests(known.first[:1], known.end[:1])[0]), {}).setdefault(n, {})[int(whole[0])] = name
     keys = np.array(sorted(found), np.uint64)
-    return keys, [sorted(found[int(k)], key=lambda x: -x[1]) for k in keys]
+    return keys, [sorted(found[int(k)].items(), reverse=True) for k in keys]
 
 
 def match_rules(sequence: list[str], rules: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[int, str]]:
@@ -135,7 +201,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row for each row of docs: (id_column, n_sentences, sentence_ids, licenses, first_offset).
 
     Sentences end at . ! ? : ; or at a blank line and run on over single line breaks; A-Z count as a-z, blanks as one, and
-    comment marks at line starts as blanks. A known sentence may begin at a sentence or a line start, and may be a line
+    comment marks at line starts as blanks; a stop at the end of a word counts for nothing within a match. A known sentence may begin at a sentence or a line start, and may be a line
     or a part of one up to its end. n_sentences counts sentences, not the lines within. sentence_ids joins the known sentences
     in text order; licenses joins the distinct licences found, sorted; first_offset is the byte where the first known
     sentence begins (-1 without one). Null, empty and plain texts give empty strings. Repeated rows and null ids come out
@@ -153,9 +219,9 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 skip = 0
                 for h in sorted(hits.tolist(), key=lambda h: (parsed.first[h], -parsed.end[h])):
                     first = int(parsed.first[h])
-                    for name, n, whole in known[int(np.searchsorted(keys, ones[h]))]:
+                    for n, wholes in known[int(np.searchsorted(keys, ones[h]))]:
                         end = first + n
-                        if first >= skip and end <= len(parsed.text) and parsed.text[end - 1] == parsed.text[first] and int(parsed.digests(np.array([first]), np.array([end]))[0]) == whole:
+                        if first >= skip and end <= len(parsed.text) and parsed.text[end - 1] == parsed.text[first] and (name := wholes.get(int(parsed.digests(np.array([first]), np.array([end]))[0]))):
                             doc = int(parsed.text[first])
                             found.setdefault(doc, []).append((name, int(parsed.begin[first] - offsets[doc])))
                             skip = end
