@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acervo.functions.scratch import kept
+from acervo.operators.keys import parse_key
 from acervo.operators.numbering import numbered
 
 # Types of nodes of the project graph in the order of their numbers, with the colours they are drawn in.
@@ -129,6 +130,18 @@ def one_hop(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.join(wanted.select("id").distinct(), "id", "left_semi").distinct()
 
 
+def one_hop_or_key(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """one_hop, and for wanted ids without an edge that are well-formed keys the four relations that a key tells: state, type, sector and year.
+
+    Null ids and ids with neither edges nor a key's form give no row.
+    """
+    near = one_hop(edges, wanted)
+    told = lambda relation, c: F.struct(F.lit(relation).alias("relation"), c.cast("string").alias("other"))
+    alone = parse_key(wanted.select("id").where("id IS NOT NULL").distinct().join(_ends(edges).select(F.col("node").alias("id")), "id", "left_anti"), "id").where("valid")
+    relations = F.array(told("UBICADO_EN", F.col("state_name")), told("ES_TIPO", F.col("kind_name")), told("DEL_SECTOR", F.concat(F.lit("Sector "), F.col("sector"))), told("DEL_AÑO", F.col("key_year")))
+    return near.unionByName(alone.select("id", F.lit("key").alias("way"), F.explode(relations).alias("r")).select("id", "way", "r.*"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, shared: str | None = None) -> DataFrame:
     """(id, community): connected nodes share a number, counted from 0 by their smallest id; all nodes of type `shared` get one more.
 

@@ -38,12 +38,24 @@ def asof_last(points: DataFrame, gaps: DataFrame, vessel: str, n: int = 12, leas
 
     A gap is put among its vessel's points by a union and one sort, so no range join is needed.
     """
+    return _before(points, gaps, vessel, n, least).groupBy("gap_id").agg(F.count("*").alias("points_before"), F.round(F.avg("p_value"), 6).alias("mean_value"), F.max("p_ts").alias("last_ts"))
+
+
+def asof_context(points: DataFrame, gaps: DataFrame, vessel: str, n: int = 12, least: int = 3) -> DataFrame:
+    """(gap_id, context): the values of the points that asof_last takes, in time order, the last repeated until there are n."""
+    taken = _before(points, gaps, vessel, n, least).groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct("_k", "p_value"))).alias("p"))
+    values = F.transform("p", lambda x: x["p_value"])
+    return taken.select("gap_id", F.concat(values, F.array_repeat(F.element_at(values, -1), n - F.size(values))).alias("context"))
+
+
+def _before(points: DataFrame, gaps: DataFrame, vessel: str, n: int, least: int) -> DataFrame:
+    """(vessel, _k, gap_id, p_ts, p_value): the last n points before each gap that has at least `least`."""
     events = points.select(vessel, F.col("ts"), F.col("value"), F.lit(None).cast("long").alias("gap_id"), F.lit(1).alias("_o")).unionByName(gaps.select(vessel, F.col("gap_start").alias("ts"), F.lit(None).cast("double").alias("value"), "gap_id", F.lit(0).alias("_o")))
     before = Window.partitionBy(vessel).orderBy("ts", "_o").rowsBetween(Window.unboundedPreceding, -1)
     recent = events.withColumn("_p", F.when(F.col("_o") == 1, F.struct("ts", "value"))).withColumn("_seen", F.count("_p").over(before))
     numbered = recent.where("_o = 1").select(vessel, F.col("ts").alias("p_ts"), F.col("value").alias("p_value"), (F.col("_seen") + 1).alias("_k"))
     wanted = recent.where("_o = 0").select(vessel, "gap_id", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_seen") - n + 1), F.greatest(F.lit(1), F.col("_seen")))).alias("_k"), "_seen").where(F.col("_seen") >= least)
-    return wanted.join(numbered, [vessel, "_k"]).groupBy("gap_id").agg(F.count("*").alias("points_before"), F.round(F.avg("p_value"), 6).alias("mean_value"), F.max("p_ts").alias("last_ts"))
+    return wanted.join(numbered, [vessel, "_k"])
 
 
 def project_details(projects: DataFrame, sponsors: DataFrame, evaluations: DataFrame, sponsor_key: str, key: str) -> DataFrame:

@@ -52,3 +52,30 @@ def heuristic_score(text: Column, yes: tuple[str, ...] = YES, no: tuple[str, ...
 
 def verdict(score: Column) -> Column:
     return F.when(score >= 0.6, "FAVORABLE").when(score >= 0.3, "CONDICIONADO").otherwise("DESFAVORABLE")
+
+
+def signal_contexts(text: Column, patterns: tuple[str, ...], around: int = 50, most: int = 5) -> Column:
+    """The first `most` hits, pattern after pattern, each with `around` characters on both sides and no white space at its ends."""
+    parts = F.array(*[F.struct(F.split(text, f"(?iu){p}").alias("between"), F.regexp_extract_all(text, F.lit(f"(?iu){p}"), F.lit(0)).alias("hits")) for p in patterns])
+    total = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda have, x: have + F.length(x))
+
+    def context(x: Column, hit: Column, i: Column) -> Column:
+        start = total(x["between"], i + 1) + total(x["hits"], i)
+        first = F.greatest(start - around, F.lit(0))
+        return F.regexp_replace(F.substring(text, first + 1, start + F.length(hit) + around - first), r"^\s+|\s+$", "")
+
+    found = F.transform(parts, lambda x: F.transform(F.slice(x["hits"], 1, most), lambda hit, i: context(x, hit, i)))
+    return F.coalesce(F.slice(F.flatten(found), 1, most), F.array().cast("array<string>"))
+
+
+def heuristic_report(text: Column, knockouts: Column, yes: tuple[str, ...] = YES, no: tuple[str, ...] = NO) -> Column:
+    """(veredicto, score, confianza_pct, yes_signals, no_signals, knockouts): signals with contexts, or the knockouts alone if there are any.
+
+    A null text has no signals; null knockouts are none.
+    """
+    out, none = F.coalesce(F.size(knockouts) > 0, F.lit(False)), F.array().cast("array<string>")
+    score = F.when(out, 0.0).otherwise(F.coalesce(heuristic_score(text, yes, no), F.lit(0.0)))
+    return F.struct(
+        verdict(score).alias("veredicto"), score.alias("score"), F.when(out, 100).otherwise(40).alias("confianza_pct"), F.when(out, none).otherwise(signal_contexts(text, yes)).alias("yes_signals"),
+        F.when(out, F.array(F.lit("Knockout automático detectado"))).otherwise(signal_contexts(text, no)).alias("no_signals"), F.when(out, knockouts).otherwise(none).alias("knockouts"),
+    )
