@@ -20,6 +20,12 @@ components are compared further, so groups of near copies cost a number of pairs
 
 What is left after the rounds of hubs is compared within its blocks. A pair is not made where one of the two n-grams before
 the block's is common too, as an earlier block makes it, and only if sketches folded by exclusive or to fewer places allow it.
+
+Rounds of hubs find components, not all links, so links are counted afterwards, within components. Each text takes a neighbour
+as its centre, and its difference from the centre's set. Two texts of one centre differ in their differences' n-grams less those
+in both, so pairs whose differences are small enough by size alone are links, and are counted by size, not made. Others of one
+centre are links only by n-grams that both differences hold, and are made by those. Pairs of different centres are compared
+within their blocks.
 """
 
 from __future__ import annotations
@@ -50,6 +56,8 @@ LARGE_BLOCK = 1 << 14
 SKETCH, FOLDED = 1024, 256
 #: Overlaps are counted over one of so many n-grams first.
 SHARE = 4
+#: A centre's n-grams meet so many of its texts at once.
+MEMBERS = 256
 POSTINGS = "ngram long, v long, n int, place int, rank long"
 
 
@@ -170,13 +178,13 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, ngram: int
     return left.select("a", "b")
 
 
-def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: (id_column, n_shingles, component_id, n_links).
+def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ngram: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
+    """One row for each row of docs: (id_column, n_shingles, component_id, n_links); without n_links unless `links`.
 
     Words are runs of bytes other than blanks, with A-Z lower-cased; a set holds the distinct runs of `ngram` words (the
     whole sequence if there are fewer words). Documents are linked when 100 * overlap >= percent * union. component_id is
-    the smallest id that links reach, the own one included. n_links counts links found to other sets; links that follow
-    from the component are not all listed.
+    the smallest id that links reach, the own one included. n_links counts the other rows that a row is linked with, copies
+    of its text included: every link counts, also those that the component does not need.
 
     Null or blank texts have no n-grams, n_shingles 0, and are linked with nothing; their component is their own id.
     Rows with a null id take part and get the smallest id of their component, if any has one. Repeated rows come out as
@@ -186,11 +194,11 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).withColumn("t", F.xxhash64("text"))
     profile = kept(_profile(docs, ngram))
     counts = kept(profile.where("ngram is not null").groupBy("ngram").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_FROM))
-    vertices = kept(profile.where("n > 0").groupBy(F.col("t").alias("v")).agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    vertices = kept(profile.where("n > 0").groupBy(F.col("t").alias("v")).agg(F.min("id").alias("least"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     blocks = _blocks(docs, ngram, percent, counts)
 
     size = blocks.count()
-    links, compared, tried = Grown(spark, "a long, b long"), Grown(spark, "a long, b long"), Grown(spark, "ngram long, hub long")
+    found, compared, tried = Grown(spark, "a long, b long"), Grown(spark, "a long, b long"), Grown(spark, "ngram long, hub long")
     active = blocks
     for _ in range(HUB_ROUNDS):
         hubs = active.groupBy("ngram").agg(F.min("rank").alias("first"))
@@ -199,26 +207,31 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         pairs = blocks.alias("l").join(hubs.alias("r"), "ngram").where(F.col("v") != F.col("hub")).where(_enough(percent)).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
         pairs = kept(pairs.join(compared.frame(), ["a", "b"], "left_anti"))
         compared.add(pairs)
-        links.add(_overlaps(docs, pairs, vertices, ngram, percent))
+        found.add(_overlaps(docs, pairs, vertices, ngram, percent))
         drop(hubs, pairs)
-        labels = components(links.frame())
+        labels = components(found.frame())
         active, open_pairs = _unsettled(blocks, labels, tried.frame())
         if open_pairs <= OPEN_PAIRS * size:
             break
     pairs = kept(_rest(blocks, active, labels, vertices, percent).join(compared.frame(), ["a", "b"], "left_anti"))
-    drop(blocks, compared, tried)
+    drop(tried)
     more = _overlaps(docs, pairs, vertices, ngram, percent)
     if more.limit(1).count():
-        links.add(more)
-        labels = components(links.frame())
-    links = links.frame()
-    degree = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count("*").alias("n_links"))
-    classes = kept(vertices.join(labels, "v", "left").join(degree, "v", "left").select(F.col("v").alias("t"), "least", F.coalesce("c", "v").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+        found.add(more)
+        labels = components(found.frame())
+    compared.add(pairs)
+    classes = vertices.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    if links:
+        counted = _linked(docs, blocks, vertices, labels, found.frame(), compared.frame(), ngram, percent)
+        classes = classes.join(counted, "v", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("times") - 1)
+    names = ["n_links"] if links else []
+    classes = kept(classes.select(F.col("v").alias("t"), "least", "c", *names))
+    drop(blocks, compared)
     named = classes.groupBy("c").agg(F.min("least").alias("component"))
     # texts without words have no class: a null key keeps their rows from meeting under one
     rows = profile.where("ngram is null").select("id", F.when(F.col("n") > 0, F.col("t")).alias("t"), "n")
-    out = rows.join(classes.join(named, "c").select("t", "component", "n_links"), "t", "left")
-    return out.select(F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = rows.join(classes.join(named, "c").select("t", "component", *names), "t", "left")
+    return out.select(F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in names])
 
 
 def _blocks(docs: DataFrame, ngram: int, percent: int, counts: DataFrame) -> DataFrame:
@@ -249,13 +262,87 @@ def _rest(blocks: DataFrame, active: DataFrame, labels: DataFrame, vertices: Dat
     """Pairs (a, b) of the active members of a block and its members in other components."""
     open_ = active.select("ngram", "v", F.lit(True).alias("open"))
     rows = _labelled(blocks.join(active.select("ngram").distinct(), "ngram", "left_semi"), labels).join(open_, ["ngram", "v"], "left")
+    rows = _marked(rows, vertices, "c", "open")
+    met = (F.col("l.ngram") == F.col("r.ngram")) & (F.col("l.c") != F.col("r.c")) & _first_met(percent)
+    return rows.where("open").alias("l").join(rows.alias("r"), met).select(F.least("l.v", "r.v").alias("a"), F.greatest("l.v", "r.v").alias("b")).distinct()
+
+
+def _marked(rows: DataFrame, vertices: DataFrame, *names: str) -> DataFrame:
+    """Postings with their folded sketches and the two n-grams before each."""
     before = [F.lag("ngram", i).over(Window.partitionBy("v").orderBy("place")).alias(f"before{i}") for i in (1, 2)]
     folded = [reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(j)) for j in range(i, SKETCH // 64, FOLDED // 64)]).alias(f"s{i}") for i in range(FOLDED // 64)]
-    rows = kept(rows.join(vertices.select("v", *folded), "v").select("ngram", "v", "n", "place", "c", "open", *[f"s{i}" for i in range(FOLDED // 64)], *before))
+    return kept(rows.join(vertices.select("v", *folded), "v").select("ngram", "v", "n", "place", *names, *[f"s{i}" for i in range(FOLDED // 64)], *before))
+
+
+def _first_met(percent: int) -> Column:
+    """Whether marked postings (left, right) of a block can reach the threshold, and no earlier block is known to make the pair."""
     near = _sketches_allow(percent, [(F.col(f"l.s{i}"), F.col(f"r.s{i}")) for i in range(FOLDED // 64)])
     earlier = [F.coalesce(F.col(f"l.before{i}") == F.col(f"r.before{j}"), F.lit(False)) for i in (1, 2) for j in (1, 2)]
-    met = (F.col("l.ngram") == F.col("r.ngram")) & (F.col("l.c") != F.col("r.c")) & _enough(percent) & near & ~(earlier[0] | earlier[1] | earlier[2] | earlier[3])
-    return rows.where("open").alias("l").join(rows.alias("r"), met).select(F.least("l.v", "r.v").alias("a"), F.greatest("l.v", "r.v").alias("b")).distinct()
+    return _enough(percent) & near & ~(earlier[0] | earlier[1] | earlier[2] | earlier[3])
+
+
+def _linked(docs: DataFrame, blocks: DataFrame, vertices: DataFrame, labels: DataFrame, found: DataFrame, compared: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Rows (v, others): how many rows have another text that reaches the threshold with v, for each text v of a component.
+
+    found are the links among the pairs compared so far, and labels the components they make.
+    """
+    ends = found.select("a", "b").union(found.select("b", "a"))
+    degree = kept(ends.groupBy(F.col("a").alias("g")).agg(F.count("*").alias("d")))
+    # the neighbour with most links found, or the text itself: its difference is none
+    near = ends.select(F.col("a").alias("v"), F.col("b").alias("g")).join(degree, "g").union(degree.select(F.col("g").alias("v"), "g", "d"))
+    centres = near.groupBy("v").agg(F.max(F.struct("d", "g")).alias("m")).select("v", F.col("m.g").alias("g"))
+    members = kept(centres.join(labels, "v").join(vertices.select("v", "n", "times"), "v"))
+    apart = _differences(docs, members, ngram, percent)
+    here = apart.groupBy("g", "f").agg(F.sum("times").alias("w"))
+    # f of one and f of the other add up to 0 at most: a running sum over the values of f counts the texts up to -f
+    steps = here.select("g", F.col("f").alias("at"), F.lit(0).alias("asks"), "w").union(here.select("g", -F.col("f"), F.lit(1), F.lit(0).cast("long")))
+    upto = steps.withColumn("w", F.sum("w").over(Window.partitionBy("g").orderBy("at", "asks"))).where("asks = 1").select("g", (-F.col("at")).alias("f"), "w")
+    alike = apart.join(upto, ["g", "f"]).select("v", (F.col("w") - F.when(F.col("f") <= 0, F.col("times")).otherwise(0)).alias("others"))
+    # what else is linked shares n-grams of its differences
+    open_ = apart.join(here.groupBy("g").agg(F.max("f").alias("most")), "g").where(F.col("f") + F.col("most") > 0)
+    parts = kept(open_.select("g", "v", "f", F.explode("d").alias("ngram")))
+    met = parts.alias("l").join(parts.alias("r"), (F.col("l.ngram") == F.col("r.ngram")) & (F.col("l.g") == F.col("r.g")) & (F.col("l.v") < F.col("r.v")) & (F.col("l.f") + F.col("r.f") > 0))
+    both = met.groupBy(F.col("l.v").alias("a"), F.col("r.v").alias("b")).agg(F.count("*").alias("k"), F.first(F.col("l.f") + F.col("r.f")).alias("f")).where(2 * (100 + percent) * F.col("k") >= F.col("f")).select("a", "b")
+    # pairs of different centres
+    sides = [members.select(F.col("v").alias(v), F.col("g").alias(g)) for v, g in (("a", "x"), ("b", "y"))]
+    known = found.join(sides[0], "a").join(sides[1], "b").where("x <> y").select("a", "b")
+    across = kept(_across(blocks, members, vertices, percent).join(compared, ["a", "b"], "left_anti"))
+    new = _overlaps(docs, across, vertices, ngram, percent)
+    made = kept(both.union(known).union(new))
+    times = members.select(F.col("v").alias("b"), F.col("times").alias("others"))
+    singly = made.union(made.select("b", "a")).join(times, "b").select(F.col("a").alias("v"), "others")
+    out = kept(alike.union(singly).groupBy("v").agg(F.sum("others").alias("others")))
+    drop(degree, members, apart, parts, across, made)
+    return out
+
+
+def _differences(docs: DataFrame, members: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Rows (v, g, times, d, f) of members (v, g, n, times): the n-grams d in which v and its centre g differ, and f.
+
+    With N the sum of sizes of two texts of one centre, S the n-grams they differ in, and k those in both differences,
+    S = |d| + |e| - 2 k, and the threshold asks for (100 + percent) * S <= (100 - percent) * N. With
+    f = (100 + percent) * |d| - (100 - percent) * n for each, that is: the two f add up to 2 * (100 + percent) * k at most.
+    """
+    rows = _rows(docs, ngram, members.select("v"), None)
+    # a centre's n-grams are dealt with its texts, so no task meets all texts of a large group
+    deals = kept(members.groupBy("g").agg(F.ceil(F.count("*") / MEMBERS).alias("deals")))
+    dealt = members.join(deals, "g").withColumn("deal", F.expr("pmod(v, deals)"))
+    centres = rows.join(deals, F.col("v") == F.col("g")).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("grams").alias("y"))
+    met = rows.select("v", F.col("grams").alias("x")).join(dealt, "v").join(centres, ["g", "deal"])
+    met = met.select("v", "g", "n", "times", F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    out = kept(met.select("v", "g", "times", "d", ((100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n").cast("long")).alias("f")))
+    drop(deals)
+    return out
+
+
+def _across(blocks: DataFrame, members: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a component whose texts have different centres and meet in a block."""
+    rows = _marked(blocks.join(members.select("v", "g", "c"), "v"), vertices, "g", "c")
+    seen = rows.select("ngram", "c", "g").distinct()
+    # centres meet first: a block whose texts have one centre makes no pairs
+    meets = seen.alias("l").join(seen.alias("r"), (F.col("l.ngram") == F.col("r.ngram")) & (F.col("l.c") == F.col("r.c")) & (F.col("l.g") < F.col("r.g"))).select("l.ngram", "l.g", F.col("r.g").alias("h"))
+    met = (F.col("l.ngram") == F.col("r.ngram")) & (F.col("l.h") == F.col("r.g")) & _first_met(percent)
+    return rows.join(meets, ["ngram", "g"]).alias("l").join(rows.alias("r"), met).select(F.least("l.v", "r.v").alias("a"), F.greatest("l.v", "r.v").alias("b")).distinct()
 
 
 def _sketches_allow(percent: int, words: list[tuple[Column, Column]]) -> Column:
@@ -281,8 +368,8 @@ def _cutoff(counts: DataFrame) -> int:
     return out
 
 
-def _rows(docs: DataFrame, ngram: int, ids: DataFrame, first: bool) -> DataFrame:
-    """Rows (v, grams) of the incidence matrix for the given vertices: the n-grams of the first range, or all others."""
+def _rows(docs: DataFrame, ngram: int, ids: DataFrame, first: bool | None) -> DataFrame:
+    """Rows (v, grams) of the incidence matrix for the given vertices: the n-grams of the first range, all others, or all."""
     shared = docs.sparkSession.sparkContext.broadcast(_bloom.build(ids, "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +381,8 @@ def _rows(docs: DataFrame, ngram: int, ids: DataFrame, first: bool) -> DataFrame
                 new[i] = keys[i] not in done
                 done.add(keys[i])
             for part, sets in _sets([batch.filter(pa.array(new))], "text", ngram):
-                sets = [x[(x % U64(SHARE) == 0) == first] for x in sets]
+                if first is not None:
+                    sets = [x[(x % U64(SHARE) == 0) == first] for x in sets]
                 grams = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), pa.array(signed(np.concatenate([*sets, np.zeros(0, U64)]))))
                 yield pa.RecordBatch.from_arrays([part.column("t"), grams], ["v", "grams"])
 

@@ -30,7 +30,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     smallest hash of id and text; rows without an id come last. Of rows that repeat id and text one stays. Null and blank
     texts have no n-grams, so they are like no other row: all of them stay, but for repeats of id and text."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
-    groups = ngram_jaccard(keyed.select("_key", "text"), id_column="_key", ngram=5, percent=80).groupBy("_key").agg(F.min("component_id").alias("_group"), F.count("*").alias("_times"))
+    groups = ngram_jaccard(keyed.select("_key", "text"), id_column="_key", ngram=5, percent=80, links=False).groupBy("_key").agg(F.min("component_id").alias("_group"), F.count("*").alias("_times"))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_key").alias("c"))
     ids = kept(keyed.select("doc_id", "_key").distinct().join(groups, "_key"))
     first = kept(ids.groupBy("_group").agg(F.min(F.struct(place.alias("p"), "_times")).alias("f")).select("_group", F.col("f.p.c").alias("_first"), "f._times"))
